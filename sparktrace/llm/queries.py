@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrace.llm import byte_bpe, chat_format, ogg_media
+from sparktrace.llm import byte_bpe, chat_format, lm_score, ogg_media, simhash_dedup, substring_dedup
 from sparktrace.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -26,7 +26,19 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_byte_bpe, op7_ogg_media)}
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_simhash_dedup, op6_byte_bpe, op7_ogg_media, op9_substring_dedup, op10_lm_score)}
 
 _LEN = "length(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;'))"
 ORACLE = {
@@ -43,4 +55,13 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
   sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) loss_sha256,
   cast(sum(chars) filter (role = 'assistant' or i = n) as bigint) formatted_chars
 from n group by conv_id""",
+    "op9_substring_dedup": r"""
+with d as (select doc_id, row_number() over () r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select r, doc_id, ws, unnest(range(1, len(ws) - 11)) i from d),
+w as (select r, doc_id, i, sha256(array_to_string(list_slice(ws, i, i + 12), ' ')) h from s),
+m as (select h, min(doc_id) least from w group by h),
+g as (select distinct r, unnest(range(i, i + 13)) p from w join m using (h) where m.least < w.doc_id),
+p as (select r, unnest(ws) word, generate_subscripts(ws, 1) p from d),
+k as (select p.r, string_agg(word, ' ' order by p.p) filter (g.p is null) kept, count(g.p) gone from p left join g on p.r = g.r and p.p = g.p group by p.r)
+select doc_id, cast(len(ws) as bigint) n_words, coalesce(gone, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (r)""",
 }
