@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrace.llm import byte_bpe, chat_format, lm_score, ogg_media, simhash_dedup, substring_dedup
+from sparktrace.llm import byte_bpe, chat_format, html_extract, lm_score, lsa_decontaminate, ogg_media, simhash_dedup, substring_dedup, toxicity
 from sparktrace.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -16,6 +16,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.examples(turns.unionByName(extra)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,10 +30,18 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op2_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -38,7 +50,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_simhash_dedup, op6_byte_bpe, op7_ogg_media, op9_substring_dedup, op10_lm_score)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_lsa_decontaminate, op3_simhash_dedup, op5_toxicity, op6_byte_bpe,
+        op7_ogg_media, op8_html_extract, op9_substring_dedup, op10_lm_score,
+    )
+}
 
 _LEN = "length(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;'))"
 ORACLE = {
