@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrace.llm import byte_bpe, chat_format, html_extract, lm_score, lsa_decontaminate, ogg_media, simhash_dedup, substring_dedup, toxicity
+from sparktrace.llm import byte_bpe, chat_format, html_extract, lm_score, lsa_decontaminate, ogg_media, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from sparktrace.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -16,6 +16,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.examples(turns.unionByName(extra)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chat_format, op2_lsa_decontaminate, op3_simhash_dedup, op5_toxicity, op6_byte_bpe,
+        op1_chat_format, op2_lsa_decontaminate, op3_simhash_dedup, op4_suffix_dedup, op5_toxicity, op6_byte_bpe,
         op7_ogg_media, op8_html_extract, op9_substring_dedup, op10_lm_score,
     )
 }
