@@ -147,3 +147,15 @@ def groups(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id); see groups."""
     return groups(docs, n, t).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, t: int = 2) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id; columns stay as they are.
+
+    Rows of one doc_id count as copies of each other if their texts are in one group. Rows of a null
+    doc_id stay only where their group has no other.
+    """
+    found = groups(docs, n, t)
+    kept = found.where("doc_id <=> component_id").select("doc_id", "fp").distinct().withColumnRenamed("doc_id", "kept_id")
+    first = docs.dropDuplicates(["doc_id"])
+    return first.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(docs.columns)

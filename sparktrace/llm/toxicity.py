@@ -322,3 +322,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "held_out": [held_out(d) for d in names], "score": scores, "predicted": (scores >= 0.5).astype(int)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows whose text is predicted toxic; columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            scores = [scorer.scores(texts) for _, texts in batches_of(iter([batch[["doc_id", "text"]]]))]
+            if scores:
+                yield batch[np.concatenate(scores) < 0.5]
+
+    return docs.mapInPandas(run, docs.schema)
