@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,8 +12,15 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """Short batches for Python workers, and shuffle files that go as soon as the query that made them is done."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,18 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives the loss of any executor."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{shared_dir(spark)}/t{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner see that earlier shuffles are out of use, so that their files go before the next step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both bigint: (node, component), component an arbitrary member.
 

@@ -34,15 +34,19 @@ def dealt(docs: DataFrame, units: int) -> DataFrame:
     return docs.withColumn(UNIT, F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
 
 
+class Numbers(dict):
+    """Numbers new keys in order of appearance."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def vocabulary(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
     """(ids of all words in a row, words of each text, id of each distinct word)."""
-    known: dict[bytes, int] = {}
-    put = known.setdefault
-    parts, counts = [], []
-    for words in texts:
-        parts.append(np.fromiter((put(w, len(known)) for w in words), np.int64, len(words)))
-        counts.append(len(words))
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(counts, np.int64), known
+    known = Numbers()
+    parts = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(p) for p in parts], np.int64), known
 
 
 def hashes(words: Iterable[bytes]) -> np.ndarray:

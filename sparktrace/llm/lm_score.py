@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import release, stored
-from sparktrace.llm.exchange import PACKED, UNIT, answered, coded, dealt, decoded, hashes, mix, pack, sizes, unpack, vocabulary
+from sparktrace.llm.common import stored
+from sparktrace.llm.exchange import ANSWER, PACKED, UNIT, coded, dealt, decoded, hashes, mix, pack, sizes, unpack, vocabulary
 from sparktrace.llm.simhash_dedup import words
 
 #: Steps per power of ten at which token probabilities are tallied for expectation-maximisation, and its rounds.
@@ -56,23 +56,24 @@ def ask(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return pd.concat([single, double])
 
 
-def total(keys: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-    """Each key's count over all units."""
-    sent = [decoded(more, len(k) // 8) for more, k in zip(rows["more"], rows["keys"], strict=True)]
-    _, at = np.unique(keys, return_inverse=True)
-    return np.bincount(at, weights=np.concatenate(sent)).astype(np.int64)[at]
+def total(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Each key's count over all units, for each unit in the order of its keys; and a row (unit -1) of a word bucket's N and V."""
+    keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
+    sent = rows["keys"].map(len).to_numpy() // 8
+    counts = np.concatenate([decoded(more, n) for more, n in zip(rows["more"], sent.tolist(), strict=True)])
+    distinct, at = np.unique(keys, return_inverse=True)
+    sums = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+    bucket = int(rows["bucket"].iloc[0])
+    out = [(u, bucket, coded(x)) for u, x in zip(rows["unit"], np.split(sums[at], np.cumsum(sent)[:-1]), strict=True)]
+    if bucket < buckets:
+        out.append((-1, bucket, np.array([sums.sum(), np.count_nonzero(sums)], "<i8").tobytes()))
+    return pd.DataFrame(out, columns=["unit", "bucket", "found"])
 
 
-def corpus_size(asked: DataFrame, buckets: int) -> tuple[int, int]:
-    """(N, V): training tokens and distinct ones, the end included."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
-        count = np.concatenate([decoded(more, len(k) // 8) for more, k in zip(rows["more"], rows["keys"], strict=True)])
-        return pd.DataFrame({"n": [int(count.sum())], "v": [len(np.unique(keys[count > 0]))]})
-
-    sums = asked.where(F.col("bucket") < buckets).groupBy("bucket").applyInPandas(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return sums[0] or 0, sums[1] or 0
+def corpus_size(answers: DataFrame) -> tuple[int, int]:
+    """(N, V): training tokens and distinct ones, the end included; one row per word bucket comes to the driver."""
+    told = [np.frombuffer(row["found"], "<i8") for row in answers.where("unit = -1").toLocalIterator()]
+    return tuple(int(x) for x in np.sum(told, 0)) if told else (0, 0)
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -120,11 +121,10 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     _, units, buckets = sizes(docs)
     sent = dealt(docs, units)
-    asked = stored(sent.groupBy(UNIT).applyInPandas(lambda rows: ask(rows, buckets), PACKED))
-    release(docs.sparkSession)
-    n, v = corpus_size(asked, buckets)
-    answers = stored(answered(asked, total, coded))
-    release(docs.sparkSession)
+    asked = sent.groupBy(UNIT).applyInPandas(lambda rows: ask(rows, buckets), PACKED)
+    answers = stored(asked.groupBy("bucket").applyInPandas(lambda rows: total(rows, buckets), ANSWER))
+    n, v = corpus_size(answers)
+    answers = answers.where("unit >= 0")
 
     def counted(rows: pd.DataFrame, answers: pd.DataFrame) -> dict:
         x = tokens(rows)
@@ -137,13 +137,13 @@ def score(docs: DataFrame) -> DataFrame:
         learn = ~x["held"][x["doc"]]
         pair, context, word = (x["c2"][x["pairs"]] - 1)[learn], (x["c1"][x["before"]] - 1)[learn], (x["c1"][x["ids"]] - 1)[learn]
         p2, p1, _ = parts(pair, context, word, n - 1, v)
-        out = pd.DataFrame({"bucket": bucket_of(context), "p2": level(p2), "p1": level(p1)})
-        return out.value_counts().rename("n").reset_index()
+        bucket, levels = bucket_of(context), 400 * FINE
+        code, count = np.unique((bucket * levels + level(p2) + 1) * levels + level(p1) + 1, return_counts=True)
+        return pd.DataFrame({"bucket": code // levels // levels, "p2": code // levels % levels - 1, "p1": code % levels - 1, "n": count})
 
     both = sent.groupBy(UNIT).cogroup(answers.groupBy("unit"))
     seen = both.applyInPandas(tally, "bucket int, p2 int, p1 int, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
     weights = fit(seen.toPandas(), v)  # at most MAX_BUCKETS * (levels of p2) * (levels of p1) rows
-    release(docs.sparkSession)
 
     def apply(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         x = counted(rows, answers)

@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, size: int, cells: int) -> list[np.ndarray]:
     parts = docs.select("text").mapInPandas(count, "depth int, block int, small binary, large binary, twice binary")
     merged = parts.groupBy("depth", "block").applyInPandas(merge_blocks, "depth int, block int, bits binary")
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(DEPTH)]
-    for row in merged.toLocalIterator():  # DEPTH * cells bits in all
+    for row in merged.collect():  # DEPTH * cells bits in all
         at = row["block"] * BLOCK // 8
         bits[row["depth"]][at : at + BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
     return bits
