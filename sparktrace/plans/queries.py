@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparktrace.functions import counters, text
 from sparktrace.operators import aggregates as A
-from sparktrace.operators import linking
+from sparktrace.operators import apdex as apdex_
+from sparktrace.operators import chatty as chatty_
+from sparktrace.operators import linking, problems, quality, series
 from sparktrace.plans import adapters
 from sparktrace.plans.adapters import table
 
@@ -223,3 +225,82 @@ def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source", "sha").orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return docs.select("doc_id", "source", F.when(F.row_number().over(order) == 1, "valid").otherwise("skipped_duplicate").alias("status"))
+
+
+# The family of derived tables.
+
+#: Configuration of the queries: chatty thresholds, longest fast call, duration bands, targets, rules.
+THRESHOLDS, FAST_US, BOUNDS = [0, 1], 60_000_000_000, [30_000_000_000, 90_000_000_000, 180_000_000_000]
+RULES = [
+    problems.Rule("slow", "operation.avg_us", ">", 150e9, 2),
+    problems.Rule("chatty", "db_chatty.calls_above_threshold_percent", ">=", 50, 1, db_events_threshold=0, min_db_linked_count_percent=20),
+    problems.Rule("score", "apdex.deficit", ">", 0.5, 1),
+    problems.Rule("linked", "operation.db_count_sum", ">=", 2, 1, min_db_linked_duration_percent=24),
+]
+
+
+class Slices(Trace):
+    """Tables that several derived tables share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        direct = "values ('op0', 'fast', 36000000000L, 'business_approved'), ('op3', 'own', 72000000000L, 'engineering_proposal') t(signature, target_id, t_us, target_status)"
+        classes = "values ('op1', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op2', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op3', 'c1', 'slow', 60000000000L, 'engineering_proposal') t(signature, class_id, target_id, t_us, target_status)"
+        self.goals = apdex_.targets(spark.sql("select * from " + direct), spark.sql("select * from " + classes))
+
+    @property
+    def history(self) -> DataFrame:
+        return series.history(self.observed)
+
+    @property
+    def chatty(self) -> DataFrame:
+        return chatty_.full(self.observed, self.history, THRESHOLDS, FAST_US)
+
+    @property
+    def classified(self) -> DataFrame:
+        return apdex_.classified(self.observed, self.goals, self.calls.where("k = 13").select(F.col("event_id").alias("call_id")))
+
+    @property
+    def apdex(self) -> DataFrame:
+        return apdex_.groups(self.classified, self.history, self.goals)
+
+    @property
+    def problems(self) -> DataFrame:
+        return problems.evaluate(RULES, self.history, self.chatty, self.apdex, quality.linkage_percents(self.linked).select("measurement_id", "db_linked_count_percent", "db_linked_duration_percent"))
+
+
+def named(name: str, build: Callable[[Slices], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(Slices(spark, sf_dir))
+
+    run.__name__ = name
+    query(run)
+
+
+REFERENCES = ("first_observation", "previous_observation", "previous_measurement")
+named("data_quality", lambda s: quality.data_quality(s.observed, s.linked))
+named("operation_history", lambda s: s.history)
+named("operation_history_all_users", lambda s: series.history(s.observed, pooled=True).drop("user"))
+named("measurement_comparisons", lambda s: series.comparisons(s.history, "m1"))
+named("comparability", lambda s: series.comparability(s.history, baseline="m1"))
+named("db_chatty", lambda s: s.chatty.drop(*REFERENCES))
+named("db_chatty_calls", lambda s: chatty_.chatty_calls(s.observed, THRESHOLDS, FAST_US, BOUNDS))
+named("db_chatty_fast_calls", lambda s: chatty_.chatty_calls(s.observed, THRESHOLDS, FAST_US, BOUNDS).where("is_fast_call"))
+named("db_chatty_duration", lambda s: chatty_.durations(s.observed, THRESHOLDS, BOUNDS))
+named("db_chatty_coverage", lambda s: chatty_.coverage(s.observed, THRESHOLDS))
+named("db_chatty_changes", lambda s: chatty_.chatty_changes(s.chatty))
+named("apdex", lambda s: s.apdex.drop(*REFERENCES))
+named("apdex_uncovered", lambda s: apdex_.uncovered(s.apdex).drop(*REFERENCES))
+named("apdex_calls", lambda s: s.classified.where("t_us is not null").select("call_id", "signature", "user", "measurement_id", "duration_us", *apdex_.TARGET, "latency_category", "category", "confirmed_failure", F.col("error_count").alias("linked_error_count")))
+named("apdex_coverage", lambda s: apdex_.coverage(s.classified))
+named("apdex_overall", lambda s: apdex_.overall(s.classified))
+named("apdex_composition", lambda s: apdex_.composition(s.classified, apdex_.overall(s.classified)))
+named("apdex_changes", lambda s: apdex_.apdex_changes(s.apdex, "m1"))
+named("problem_history", lambda s: problems.history(s.problems))
+named("problem_registry", lambda s: problems.registry(problems.history(s.problems)))
+named("problem_new", lambda s: problems.new(problems.history(s.problems)))
+named("problem_persisting", lambda s: problems.persisting(problems.history(s.problems)))
+named("problem_unchecked", lambda s: problems.unchecked(problems.history(s.problems)))
+named("problem_improved", lambda s: problems.moved(problems.history(s.problems), "decreased"))
+named("problem_worsened", lambda s: problems.moved(problems.history(s.problems), "increased"))
+named("problem_rule_coverage", lambda s: problems.rule_coverage(s.problems))
