@@ -2,8 +2,9 @@
 
 TF-IDF vectors of all passages of all documents (hashed words, DIMS dimensions) get a randomised
 SVD: with a random test matrix R, each task adds its part of C = A'A R, the parts are summed, and the
-right singular vectors follow from C and R'C alone (Nystroem). Passages and benchmark items are
-centred, projected and whitened; pairs of high cosine are candidates. A candidate is a leak if the
+right singular vectors V follow from C and R'C alone (Nystroem). Passages and benchmark items are
+centred and projected: whitened on V, and by random directions on what V leaves over, since texts
+without common topics differ mostly there. Pairs of high cosine are candidates. A candidate is a leak if the
 longest common subsequence of the item's words and the words around the passage is long enough and
 the item's answer (its last words) is in it; so reordering, insertions and replacements are seen
 through up to a point, and common words alone don't make a leak.
@@ -11,21 +12,29 @@ through up to a point, and common words alone don't make a leak.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.exchange import UNIT_CHARS, distinct, hashes, vocabulary
+from sparktrace.llm.exchange import UNIT_CHARS, distinct
 
-DIMS, RANK, SIZE = 8192, 64, 32
+DIMS, SIZE = 8192, 32
+#: Columns of the test matrix, singular vectors kept, and random directions for the rest.
+TEST, RANK, REST = 16, 10, 38
+#: Weight of the singular vectors' part of the cosine.
+LATENT = 0.25
 STEP = SIZE // 2
 #: Dimensions in a row of partial sums.
 ROW = 512
 #: Benchmark passages looked for in one pass over the documents; more take more passes.
 BLOCK = 20_000
+#: Words between the passages of an item.
+SHIFT = 8
 #: Items of fewer words are no evidence of a leak.
 LEAST_WORDS = 8
 _PLAIN = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -38,18 +47,23 @@ def words(text: str | None) -> list[bytes]:
 
 def terms(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(dimension of every word in a row, words of each text)."""
-    ids, counts, known = vocabulary(texts)
-    if not len(ids):
-        return np.zeros(0, np.int32), counts
-    return (hashes(known)[:, 0] % np.uint64(DIMS)).astype(np.int32)[ids], counts
+    counts = np.array([len(words) for words in texts], np.int64)
+    return np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()).astype(np.int64) % DIMS, counts
 
 
-def passages(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, text) of consecutive stretches of size words; the last of a text may be shorter."""
-    n = -(-counts // size)
+def halves(dim: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive half passages of texts: (sum of the weights of each one's words, its words, its text).
+
+    The last row of weights is for no word and must be zero.
+    """
+    n = -(-counts // STEP)
     text = np.repeat(np.arange(len(counts)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(np.cumsum(counts) - counts, n) + nth * size, text
+    padded = np.full(int(n.sum()) * STEP, DIMS, np.int64)
+    shift = np.cumsum(n) * STEP - n * STEP - (np.cumsum(counts) - counts)
+    padded[np.arange(len(dim)) + np.repeat(shift, counts)] = dim
+    size = np.full(len(text), STEP)
+    size[np.cumsum(n)[counts > 0] - 1] = ((counts - 1) % STEP + 1)[counts > 0]
+    return weights[padded.reshape(-1, STEP)].sum(1), size, text
 
 
 def batches_of(rows: Iterator[pd.DataFrame], words_at_once: int = 60_000) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -67,88 +81,83 @@ def batches_of(rows: Iterator[pd.DataFrame], words_at_once: int = 60_000) -> Ite
             yield ids, texts
 
 
-def summed(docs: DataFrame, part, width: int) -> np.ndarray:
-    """Sum over tasks of part(batches), a DIMS x width array; rows of it are added up apart."""
+WIDTH = 3 + TEST
+
+
+def tallied(docs: DataFrame, test: np.ndarray) -> np.ndarray:
+    """Sums over all passages, per dimension: passages that have it, occurrences, number of passages (in the first), and T'T test for counts T."""
+    weights = np.concatenate([test, np.zeros((1, TEST))]).astype(np.float32)
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = part(batches_of(rows)).astype(np.float32 if width > 8 else np.float64)
+        out = np.zeros((DIMS, WIDTH))
+        for _, texts in batches_of(rows):
+            dim, counts = terms(texts)
+            if not len(dim):
+                continue
+            sums, size, text = halves(dim, counts, weights)
+            first = np.searchsorted(text, text)
+            nth = (np.arange(len(text)) - first) // 2 * 2 + first  # the half that a half's passage starts with; these passages don't overlap
+            of = np.repeat(nth, size)
+            out[:, 0] += np.bincount(distinct(of * DIMS + dim) % DIMS, minlength=DIMS)
+            out[:, 1] += np.bincount(dim, minlength=DIMS)
+            out[0, 2] += np.count_nonzero(nth == np.arange(len(nth)))
+            each = np.repeat(pairs(sums, text)[nth], size, axis=0).T.astype(float)
+            for k in range(TEST):
+                out[:, 3 + k] += np.bincount(dim, each[k], DIMS)
         yield pd.DataFrame({"row": range(DIMS // ROW), "part": [out[i : i + ROW].tobytes() for i in range(0, DIMS, ROW)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.float32 if width > 8 else np.float64).astype(float) for p in rows["part"])
-        return pd.DataFrame({"row": rows["row"][:1], "part": [total.tobytes()]})
+        return pd.DataFrame({"row": rows["row"][:1], "part": [sum(np.frombuffer(p) for p in rows["part"]).tobytes()]})
 
     sums = docs.mapInPandas(run, "row int, part binary").groupBy("row").applyInPandas(add, "row int, part binary")
-    out = np.zeros((DIMS, width))
-    for row in sums.toLocalIterator():  # DIMS * width numbers in all
-        out[row["row"] * ROW : (row["row"] + 1) * ROW] = np.frombuffer(row["part"]).reshape(ROW, width)
+    out = np.zeros((DIMS, WIDTH))
+    for row in sums.collect():  # DIMS * WIDTH numbers in all
+        out[row["row"] * ROW : (row["row"] + 1) * ROW] = np.frombuffer(row["part"]).reshape(ROW, WIDTH)
     return out
 
 
-def tally(batches: Iterator[tuple[list, list[list[bytes]]]]) -> np.ndarray:
-    """Per dimension: passages that have it, occurrences, and (in the first one) number of passages."""
-    out = np.zeros((DIMS, 3))
-    for _, texts in batches:
-        dim, counts = terms(texts)
-        start, _ = passages(counts, SIZE)
-        if not len(start):
-            continue
-        of = np.repeat(np.arange(len(start), dtype=np.int64), np.diff(np.append(start, len(dim))))
-        out[:, 0] += np.bincount(distinct(of * DIMS + dim) % DIMS, minlength=DIMS)
-        out[:, 1] += np.bincount(dim, minlength=DIMS)
-        out[0, 2] += len(start)
+def pairs(sums: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Each half with the one after it in the same text."""
+    out = sums.copy()
+    out[:-1] += np.where((text[1:] == text[:-1]).reshape(-1, *[1] * (sums.ndim - 1)), sums[1:], 0)
     return out
 
 
 class Space:
-    """Latent space: weights of dimensions (DIMS x rank) and the centre per word."""
+    """Projection of word counts: weights of dimensions (a last row of zeros for no word) and the centre per word."""
 
     def __init__(self, weights: np.ndarray, centre: np.ndarray):
-        self.weights, self.centre = weights.astype(np.float32), centre.astype(np.float32)
+        self.weights, self.centre = np.concatenate([weights, np.zeros((1, weights.shape[1]))]).astype(np.float32), centre.astype(np.float32)
 
-    def vectors(self, dim: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Unit vectors of passages [start, stop); all starts are half passages, so sums of halves are shared."""
-        cuts = distinct(np.concatenate([start, stop]))
-        cuts = cuts[cuts < len(dim)]
-        halves = np.concatenate([np.add.reduceat(self.weights[dim], cuts, axis=0), np.zeros((1, self.weights.shape[1]), np.float32)])
-        at, end = np.searchsorted(cuts, start), np.searchsorted(cuts, stop)
-        total = halves[at]
-        for more in range(1, int((end - at).max(initial=1))):
-            total = total + np.where((at + more < end)[:, None], halves[np.minimum(at + more, len(cuts))], 0)
-        total = total - (stop - start)[:, None] * self.centre
-        return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    def vectors(self, dim: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit vectors of passages of two halves that start at each half, text of each)."""
+        sums, size, text = halves(dim, counts, self.weights)
+        total = pairs(sums, text) - pairs(size, text)[:, None] * self.centre
+        return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), text
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Space:
-    """Randomised SVD of the passages of all documents."""
-    stats = summed(docs, tally, 3)
+    """Randomised SVD of the passages of all documents, in one pass.
+
+    A is T times the inverse document frequencies; with a test matrix of the form (those)^-1 test,
+    C = A'A R is what tallied sums up times the frequencies, and R'C is test' T'T test.
+    """
+    rng = np.random.default_rng(seed)
+    test, rest = rng.standard_normal((DIMS, TEST)), rng.standard_normal((DIMS, REST)) / REST**0.5
+    stats = tallied(docs, test)
     n = max(stats[0, 2], 1)
-    idf = np.where(stats[:, 0] > 0, np.log((n + 1) / (stats[:, 0] + 0.5)), 0)
-    mean = stats[:, 1] * idf / n
-    test = np.random.default_rng(seed).standard_normal((DIMS, RANK))
-    weighted = (idf[:, None] * test).astype(np.float32)
-
-    def part(batches: Iterator[tuple[list, list[list[bytes]]]]) -> np.ndarray:
-        out = np.zeros((DIMS, RANK), np.float64)
-        for _, texts in batches:
-            dim, counts = terms(texts)
-            start, _ = passages(counts, SIZE)
-            if not len(start):
-                continue
-            y = np.add.reduceat(weighted[dim], start, axis=0)
-            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(dim))))
-            order = np.argsort(dim.astype(np.int16), kind="stable")
-            there = np.flatnonzero(np.diff(dim[order], prepend=-1))
-            out[dim[order][there]] += np.add.reduceat(y[of[order]], there, axis=0)
-        return out * idf[:, None]
-
-    c = summed(docs, part, RANK) - n * np.outer(mean, mean @ test)
-    w = test.T @ c
+    idf = np.where(stats[:, 0] > 0, np.log((n + 1) / (stats[:, 0] + 0.5)), np.log(n + 1))
+    counts = stats[:, 1] / n
+    mean, gram = counts * idf, stats[:, 3:] - n * np.outer(counts, counts @ test)
+    c, w = idf[:, None] * gram, test.T @ gram
     value, vector = np.linalg.eigh((w + w.T) / 2)
     good = value > max(value[-1], 1e-9) * 1e-7
     u, s, _ = np.linalg.svd(c @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    whole = u / np.maximum(s, s[:1] * 1e-4 + 1e-12)
-    return Space(idf[:, None] * whole, mean @ whole / SIZE)
+    u, s = u[:, :RANK], np.maximum(s[:RANK], s[:1] * 1e-4 + 1e-12) / n**0.5
+    left = rest - u @ (u.T @ rest)
+    spread = np.sqrt(max(float((stats[:, 1] * idf**2).sum() / n), 1e-9))
+    both = np.concatenate([u / s * (LATENT / RANK) ** 0.5, left / spread], axis=1)
+    return Space(idf[:, None] * both, mean @ both / SIZE)
 
 
 def common_subsequence(masks: dict[bytes, int], n: int, found: list[bytes]) -> int:
@@ -172,11 +181,11 @@ class Items:
     """A block of benchmark items: passages with their vectors, and what the checks need."""
 
     def __init__(self, rows: list[tuple[int, list[bytes]]], space: Space):
-        dim, counts = terms([w for _, w in rows])
-        base = np.cumsum(counts) - counts
-        at = [(int(b) + s, int(b) + min(s + SIZE, n), i) for i, (b, n) in enumerate(zip(base, counts.tolist(), strict=True)) for s in range(0, max(n - SIZE, 0) + STEP, STEP) if s < n]
-        start, stop, self.item = (np.array(x) for x in zip(*at, strict=True))
-        self.vectors = np.concatenate([space.vectors(dim[a:b], np.array([0]), np.array([b - a])) for a, b in zip(start, stop, strict=True)])
+        at = [(w[a : a + SIZE], i) for i, (_, w) in enumerate(rows) for a in range(0, max(len(w) - SIZE, 0) + SHIFT, SHIFT)]
+        dim, counts = terms([w for w, _ in at])
+        vectors, text = space.vectors(dim, counts)
+        first = np.searchsorted(text, np.arange(len(at)))
+        self.item, self.vectors = np.array([i for _, i in at]), vectors[first]
         self.names = [i for i, _ in rows]
         self.words = [w for _, w in rows]
         self.masks = [masks_of(w) for w in self.words]
@@ -184,7 +193,7 @@ class Items:
         self.answer_masks = [masks_of(a) for a in self.answers]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, common: float = 0.6, answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, common: float = 0.6, answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer) of every document that holds an item, verbatim or paraphrased.
 
     common is the share of the item's words in the longest common subsequence with the words around
@@ -212,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, common: f
     for row in benchmark.select("item_id", "text").toLocalIterator():
         if len(found := words(row["text"])) >= LEAST_WORDS:
             block.append((row["item_id"], found))
-            held += -(-len(found) // STEP)
+            held += -(-len(found) // SHIFT)
         if held >= BLOCK:
             part, block, held = search(Items(block, space)), [], 0
             out = part if out is None else out.unionByName(part)
@@ -225,22 +234,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, common: f
 def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: float, common: float, answer: float) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
     """(text, item, (cosine, common, answer)) of leaks among all passages of some texts."""
     dim, counts = terms(texts)
-    start, text = passages(counts, STEP)
-    if not len(start):
+    if not len(dim):
         return
-    base = np.cumsum(counts) - counts
-    stop = np.minimum(start + SIZE, (base + counts)[text])
-    near = space.vectors(dim, start, stop) @ items.vectors.T
+    vectors, text = space.vectors(dim, counts)
+    first = np.searchsorted(text, np.arange(len(texts)))
+    near = vectors @ items.vectors.T
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     checked: set[tuple[int, int]] = set()
-    rows, cols = np.nonzero(near >= cosine)
+    rows, cols = np.divmod(np.flatnonzero(near.ravel() >= cosine), near.shape[1])
     for passage, column in zip(rows.tolist(), cols.tolist(), strict=True):
         i = int(items.item[column])
         if (passage, i) in checked:
             continue
         checked.add((passage, i))
         whole, d = items.words[i], int(text[passage])
-        a = int(start[passage] - base[d])
+        a = (passage - int(first[d])) * STEP
         around = texts[d][max(0, a - len(whole)) : a + SIZE + len(whole)]
         there = set(around)
         if sum(w in there for w in whole) < common * len(whole):
