@@ -67,7 +67,7 @@ def operations(calls: DataFrame) -> DataFrame:
     """Per measurement, user and exact signature."""
     out = calls.groupBy("measurement_id", "user", "signature").agg(
         *metric_group(), F.min("duration_us").alias("min_us"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"),
-        F.round(F.stddev_pop("duration_us") / F.avg("duration_us"), 6).alias("cv"),
+        F.round(F.try_divide(F.stddev_pop("duration_us"), F.avg("duration_us")), 6).alias("cv"),
         *counters.cpu_population(), F.sum("cpu_us").alias("cpu_us"),
         F.avg("memory_peak").alias("memory_peak_avg"), F.max("memory_peak").alias("memory_peak_max"),
         F.sum("out_bytes").alias("out_bytes"), F.max("out_bytes").alias("max_out_bytes"), F.sum("in_bytes").alias("in_bytes"),
@@ -105,7 +105,7 @@ def dataset_stats(events: DataFrame) -> DataFrame:
         F.count_if(~known).alias("events_without_time"),
         F.count_if((F.col("user") == "(not specified)") | F.col("signature").rlike(text.BACKGROUND)).alias("background_events"),
         F.count_distinct(F.when(known, F.date_trunc("minute", "ts"))).alias("active_minutes"),
-        F.round(F.count_if(kind == "DBPOSTGRS") / F.count_distinct(F.when(known, F.date_trunc("minute", "ts"))), 6).alias("db_per_active_minute"),
+        F.round(F.try_divide(F.count_if(kind == "DBPOSTGRS"), F.count_distinct(F.when(known, F.date_trunc("minute", "ts")))), 6).alias("db_per_active_minute"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sparktrace.functions.text import CATEGORIES, OTHER
+
 BASE = r"""
 with ev as (
   select event_id, case event_type when 'click' then 'DBPOSTGRS' when 'error' then 'EXCP' when 'signup' then 'TLOCK' else 'CALL' end event_type,
@@ -83,7 +85,7 @@ STATES = """states as (
   union all select event_id, measurement_id, 'rows_affected', 'valid', rows_affected from c)"""
 
 OPS = f"""ops as (
-  select measurement_id, "user", signature, {GROUP}, min(duration_us) min_us, min(start_us) first_us, max(end_us) last_us, round(stddev_pop(duration_us) / avg(duration_us), 6) cv, {CPU},
+  select measurement_id, "user", signature, {GROUP}, min(duration_us) min_us, min(start_us) first_us, max(end_us) last_us, round(stddev_pop(duration_us) / nullif(avg(duration_us), 0), 6) cv, {CPU},
     cast(sum(cpu_us) as bigint) cpu_us, avg(memory_peak) memory_peak_avg, cast(max(memory_peak) as bigint) memory_peak_max, cast(sum(out_bytes) as bigint) out_bytes, cast(max(out_bytes) as bigint) max_out_bytes,
     cast(sum(in_bytes) as bigint) in_bytes, cast(sum(db_count) as bigint) db_count, cast(sum(db_duration_us) as bigint) db_duration_us, cast(max(db_count) as bigint) max_db_per_call,
     cast(sum(lock_count) as bigint) lock_count, cast(sum(error_count) as bigint) error_count, arg_min(k, call_id) first_sample, {LIST.format("dataset_id")} dataset_ids, sum(db_count)::double / count(*) db_per_call
@@ -95,7 +97,7 @@ ORACLE = {
       count(*) filter (state = 'empty') empty_count, count(*) filter (state = 'invalid') invalid_count, count(*) filter (state = 'out_of_range') out_of_range_count, count(*) filter (value = 0) zero_count,
       cast(sum(value) as bigint) sum_known, case when count(value) = count(*) then cast(sum(value) as bigint) end sum_complete, sum(value)::double / nullif(count(value), 0) mean, max(value) max_known,
       100.0::double * count(value) / count(*) coverage_percent from states group by 1, 2""",
-    "order_statistics": BASE + f"select measurement_id, signature, {GROUP}, min(duration_us) min_us, round(stddev_pop(duration_us) / avg(duration_us), 6) cv from c group by 1, 2",
+    "order_statistics": BASE + f"select measurement_id, signature, {GROUP}, min(duration_us) min_us, round(stddev_pop(duration_us) / nullif(avg(duration_us), 0), 6) cv from c group by 1, 2",
     "threshold_counts": BASE + f"select measurement_id, event_type, count, over_1s, over_5s, over_10s, over_30s from (select measurement_id, event_type, {GROUP} from e group by 1, 2)",
     "cpu_population": BASE + f"select measurement_id, {CPU} from obs group by 1",
     "interval_candidates": BASE + "select event_id, call_id, session_match from cand",
@@ -143,6 +145,12 @@ ORACLE = {
     "error_summary": BASE + """select count(*) event_count, count(parent_call_id) linked_count, count(distinct error_signature) signature_count, count(distinct incident_key) incident_count, count(distinct parent_call_id) affected_call_count,
       count(*) filter (incident_reason = 'same_call_exact_payload') grouped_count, count(*) filter (status = 'ambiguous') ambiguous_count from inc""",
     "error_incidents": BASE + """select min(event_id) representative, count(*) event_count, count(distinct parent_call_id) affected_call_count, min(end_us) first_us, max(end_us) last_us, min(incident_reason) reason_code from inc group by incident_key""",
+    "error_normalize": r"""with a as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) x from documents),
+      b as (select doc_id, regexp_replace(x, '\b[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b', '<uuid>', 'g') x from a),
+      c as (select doc_id, regexp_replace(x, '\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\b', '<date>', 'g') x from b),
+      d as (select doc_id, regexp_replace(x, '\b\d{2,}\b', '#', 'g') x from c) select doc_id, sha256(x) signature_sha256, length(x) n_chars from d""",
+    "error_classify": """with t as (select lower(substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 6000)) x from documents)
+      select case """ + " ".join("when " + " or ".join(f"contains(x, '{m}')" for m in markers) + f" then '{category}'" for category, markers in CATEGORIES.items()) + f""" else '{OTHER}' end category, count(*) documents from t group by 1""",
     "text_clean": r"""with t as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) x, trim(regexp_replace(regexp_extract(coalesce(text, ''), '([^\n]*\S[^\n]*)', 1), '\s+', ' ', 'g')) r from conversations)
       select conv_id, turn, case when length(x) > 80 then substr(x, 1, 77) || '...' else x end cleaned, case when length(r) > 900 then substr(r, 1, 897) || '...' else r end root from t""",
     "membership": BASE + "select distinct measurement_id, dataset_id from e where event_type <> 'TLOCK'",

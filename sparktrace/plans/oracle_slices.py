@@ -145,7 +145,19 @@ PROBLEMS = EVALUATED + f""", p1 as (select *, min(case when threshold_breached t
   mv as (select rule_id, signature, "user", measurement_id, value, unnest(['first_problem', 'previous_eligible']) change_basis, unnest([since_first_measurement_id, previous_measurement_id]) reference_measurement_id,
     unnest([since_first_delta, previous_delta]) delta, unnest([since_first_direction, previous_direction]) direction from ph)"""
 
+ORDERS = """with li as (select l_orderkey, count(*) n, sum(cast(l_quantity * 1000 as bigint)) us from lineitem group by 1),
+  thr as (select *, db_count > threshold_db_events hit from (select o_orderpriority signature, c_mktsegment "user", cast(year(o_orderdate) as varchar) measurement_id, cast(round(o_totalprice * 100) as bigint) duration_us,
+    coalesce(n, 0) db_count, cast(coalesce(us, 0) as bigint) db_duration_us, unnest([3, 5, 8]) threshold_db_events from orders join customer on o_custkey = c_custkey left join li on o_orderkey = l_orderkey))"""
+VERIFY = ["more_than_one_selected", "selected_is_not_the_parent", "parent_is_no_call", "selected_is_not_eligible", "unlinked_with_candidates", "evidence_without_decision"]
+
 ORACLE = {
+    "order_chatty": ORDERS + f"""select signature, "user", measurement_id, threshold_db_events, count(*) count, sum(db_count) > threshold_db_events * count(*) group_mean_above_threshold, {PROFILE_SQL.replace(FAST, "duration_us <= 10000000")} from thr group by 1, 2, 3, 4""",
+    "sql_dictionary": BASE + """select distinct sql_text, sql_pattern normalized_sql, 'lexical' sql_normalization_status, 't' || (k % 7) tables, false has_join, false has_limit_or_top, sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256 from e where event_type = 'DBPOSTGRS'""",
+    "db_observations": BASE + """select event_id, dataset_id, measurement_id, "user", duration_us, status, reason_code, parent_call_id, sql_pattern normalized_sql, sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256 from dec where event_type = 'DBPOSTGRS'""",
+    "report_overview": BASE + f"""select measurement_id, "user", signature, cpu_percent_of_wall, duration_us, row_number() over (partition by measurement_id order by cpu_percent_of_wall desc nulls last, duration_us desc nulls last, signature, "user") rank
+      from (select measurement_id, "user", signature, cast(sum(duration_us) as bigint) duration_us, {CPU.split("cpu_wall_coverage_percent, ")[1].split("cpu_percent_of_wall")[0]} cpu_percent_of_wall from obs group by 1, 2, 3) qualify rank <= 5""",
+    "report_trajectories": BASE + HIST + """, b as (select signature, "user" from hist group by 1, 2 order by max(duration_us_sum) desc nulls last, 1, 2 limit 10) select signature, "user", measurement_id, count, duration_us_sum from hist semi join b using (signature, "user")""",
+    "verify_links": f"""select unnest({VERIFY!r}) "check", 0 violations""",
     "data_quality": BASE + QUALITY + f""", q as (select measurement_id, count(*) call_count, count(distinct "user") user_count, count(distinct signature) operation_signature_count, count(distinct row(signature, "user")) operation_user_count, min(start_us) observed_call_start,
       max(end_us) observed_call_end, count(*) filter (db_count = 0) calls_with_zero_linked_db, count(*) filter (error_count > 0) calls_with_linked_errors, count(cpu_us) cpu_available_count, round({PCT.format("count(cpu_us)", "count(*)")}, 6) cpu_coverage_percent,
       count(out_bytes) out_bytes_available_count, {LIST.format("dataset_id")} dataset_ids from obs group by 1)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.functions import counters, text
+from sparktrace.functions import counters, sqlnorm, text
 from sparktrace.operators import aggregates as A
 from sparktrace.operators import apdex as apdex_
 from sparktrace.operators import chatty as chatty_
-from sparktrace.operators import linking, problems, quality, series
+from sparktrace.operators import linking, problems, quality, report, series, verify
 from sparktrace.plans import adapters
 from sparktrace.plans.adapters import table
 
@@ -61,7 +61,7 @@ def counter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = Trace(spark, sf_dir).calls.groupBy("measurement_id", "signature")
-    return calls.agg(*A.metric_group(), F.min("duration_us").alias("min_us"), F.round(F.stddev_pop("duration_us") / F.avg("duration_us"), 6).alias("cv"))
+    return calls.agg(*A.metric_group(), F.min("duration_us").alias("min_us"), F.round(F.try_divide(F.stddev_pop("duration_us"), F.avg("duration_us")), 6).alias("cv"))
 
 
 @query
@@ -304,3 +304,47 @@ named("problem_unchecked", lambda s: problems.unchecked(problems.history(s.probl
 named("problem_improved", lambda s: problems.moved(problems.history(s.problems), "decreased"))
 named("problem_worsened", lambda s: problems.moved(problems.history(s.problems), "increased"))
 named("problem_rule_coverage", lambda s: problems.rule_coverage(s.problems))
+
+
+# Chattiness at the size of lineitem, and what saved tables are checked and reported by.
+
+
+@query
+def order_chatty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls, line items as their DB events."""
+    return chatty_.groups(adapters.order_calls(spark, sf_dir), [3, 5, 8], 10_000_000)
+
+
+@query
+def sql_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sqlnorm.dictionary(adapters.trace_events(spark, sf_dir).where("event_type = 'DBPOSTGRS'"))
+    return texts.select("sql_text", "normalized_sql", "sql_normalization_status", F.array_join("tables", " | ").alias("tables"), "has_join", "has_limit_or_top", "sql_fingerprint_sha256")
+
+
+@query
+def db_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DB events with statement dictionary, decision and owner: the star view."""
+    linked = Trace(spark, sf_dir).linked.where("event_type = 'DBPOSTGRS'")
+    texts = sqlnorm.dictionary(linked).select("sql_text", "sql_fingerprint_sha256", "normalized_sql")
+    return linked.join(texts, "sql_text", "left").select("event_id", "dataset_id", "measurement_id", "user", "duration_us", "status", "reason_code", "parent_call_id", "normalized_sql", "sql_fingerprint_sha256")
+
+
+@query
+def report_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five longest-running operations of each measurement, unknown values last."""
+    return report.top_per_measurement(A.operations(Trace(spark, sf_dir).observed), [("cpu_percent_of_wall", False), ("duration_us", False), ("signature", True), ("user", True)], 5).select("measurement_id", "user", "signature", "cpu_percent_of_wall", "duration_us", "rank")
+
+
+@query
+def report_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole histories of the ten cohorts with the largest sum in any measurement."""
+    return report.top_trajectories(Slices(spark, sf_dir).history, ["signature", "user"], "duration_us_sum", 10).select("signature", "user", "measurement_id", "count", "duration_us_sum")
+
+
+@query
+def verify_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of decisions against evidence; every count must be zero."""
+    t = Trace(spark, sf_dir)
+    pairs = linking.candidates(t.others, t.calls)
+    decisions = linking.decide(t.others, pairs)
+    return verify.links(decisions, linking.evidence(pairs, decisions), t.calls)
