@@ -26,7 +26,7 @@ TRIGRAMS = 24
 #: Words whose inputs a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 150_000
 #: Labelled rows of each class that training takes at most, and the longest text among them; documents that make a word frequent; share of words hidden in training.
-SAMPLE, LONGEST = {1: 1000, 0: 2000}, 50_000
+SAMPLE, LONGEST = {1: 1000, 0: 2000}, 12_000
 FREQUENT, DROP = 4, 0.2
 
 
