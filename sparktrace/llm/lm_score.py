@@ -23,7 +23,7 @@ from sparktrace.llm.exchange import ANSWER, PACKED, UNIT, coded, dealt, decoded,
 from sparktrace.llm.simhash_dedup import words
 
 #: Steps per power of ten at which token probabilities are tallied for expectation-maximisation, and its rounds.
-FINE, ROUNDS = 40, 60
+FINE, ROUNDS = 20, 60
 MAX_BUCKETS = 64
 
 
