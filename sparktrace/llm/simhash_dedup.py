@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import components, stored
+from sparktrace.llm.exchange import ODD, mix
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -26,7 +27,7 @@ GOLAY = 0b110001110101
 #: A document's copies are gathered in this many parts per fingerprint, so no group grows without bound.
 PARTS = 64
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-_BITS = np.array([[[(byte >> bit) & 1 if j == i else 0 for i in range(8) for bit in range(8)] for byte in range(256)] for j in range(8)]).reshape(2048, 64)
+_EIGHT = np.array([[byte >> bit & 1 for bit in range(8)] for byte in range(256)], np.float64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -48,8 +49,8 @@ def fingerprint(text: str | None, n: int = 3) -> int:
         return 0
     hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
     cells = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(0, 2048, 256)
-    votes = np.bincount(cells.ravel(), minlength=2048) @ _BITS
-    return int(np.packbits(2 * votes > len(parts), bitorder="little").view("<u8")[0])
+    votes = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256).astype(np.float64) @ _EIGHT
+    return int(np.packbits(2 * votes.ravel() > len(parts), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -149,13 +150,128 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
     return groups(docs, n, t).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, t: int = 2) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest doc_id; columns stay as they are.
+# Wider sketches, for similarities at which 64 bits differ in more places than a radius can cover.
 
-    Rows of one doc_id count as copies of each other if their texts are in one group. Rows of a null
-    doc_id stay only where their group has no other.
+SKETCH, SAME = 512, 0.95
+_SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SKETCH // 64, dtype=np.uint64) * 2 + 1
+
+
+def wide_sketch(text: str | None, n: int) -> bytes:
+    """SKETCH bits by the rule of fingerprint, from as many hashes of each shingle; zero without words."""
+    parts = shingles(words(text), n)
+    if not parts:
+        return bytes(SKETCH // 8)
+    one = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+    hashes = mix(one[:, None] * _SEEDS)
+    cells = hashes.view(np.uint8).reshape(len(parts), -1).astype(np.int64) + np.arange(0, SKETCH * 32, 256)
+    votes = np.bincount(cells.ravel(), minlength=SKETCH * 32).reshape(-1, 256).astype(np.float64) @ _EIGHT
+    return np.packbits(2 * votes.ravel() > len(parts), bitorder="little").tobytes()
+
+
+def differing(similarity: float) -> float:
+    """Share of bits in which sketches differ at a Jaccard similarity, for sets of one size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables(distinct: int, similarity: float) -> tuple[int, int]:
+    """(tables, further bits): as many further bits as keep chance meetings rare among so many sketches, and tables for a recall of SAME at the similarity."""
+    more = max(0, int(np.ceil(np.log2(max(distinct, 2)))) + 2 - 12)
+    p = differing(similarity)
+    syndrome, near, start, _ = code(2 * RADIUS + 2)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << HALF, 200_000)
+    y = x ^ ((rng.random((len(x), HALF)) < p) @ (1 << np.arange(HALF)))
+    meet = float((x ^ near[start[syndrome[x]]] == y ^ near[start[syndrome[y]]]).mean()) * (1 - p) ** more
+    return int(np.ceil(np.log(1 - SAME) / np.log(1 - meet))), more
+
+
+def wide_links(sketches: DataFrame, distinct: int, similarity: float) -> DataFrame:
+    """Links (a, b) between rows (fp, sketch) of distinct sketches that differ in no more bits than the similarity allows.
+
+    Each table takes HALF of the bits to the nearest anchor of the covering code, with some further
+    bits as they are; all sketches at one anchor of one table are compared, in blocks, and told as a
+    tree of links per anchor. A pair at the similarity meets in some table with probability SAME.
+    """
+    count, more = tables(distinct, similarity)
+    rng = np.random.default_rng(9)
+    chosen = np.stack([rng.permutation(SKETCH)[: HALF + more] for _ in range(count)])
+    limit = int(differing(similarity) * SKETCH * 1.07)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        syndrome, near, start, _ = code(2 * RADIUS + 2)
+        powers = 1 << np.arange(HALF + more, dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+            keys = []
+            for j, columns in enumerate(chosen):
+                value = bits[:, columns].astype(np.int64) @ powers
+                half = value & (1 << HALF) - 1
+                anchor = half ^ near[start[syndrome[half]]]
+                keys.append(mix((value >> HALF << HALF | anchor).astype(np.uint64) * ODD + np.uint64(j)))
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(batch["fp"].to_numpy(), count)})
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        held = [b for b in batches if len(b)]
+        return pd.concat(held) if held else pd.DataFrame()
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = gathered(batches)
+        if len(rows):
+            yield rows[rows["key"].duplicated(keep=False)]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = gathered(batches)
+        if not len(rows):
+            return
+        rows = rows.sort_values(["key", "fp"])
+        key, fps = rows["key"].to_numpy(), rows["fp"].to_numpy()
+        words_ = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1)
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        found = []
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), strict=True):
+            root = list(range(b - a))
+
+            def top(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for at in range(a, b, 256):
+                for other in range(at, b, 4096):
+                    near = np.bitwise_count(words_[at : min(at + 256, b), None] ^ words_[None, other : min(other + 4096, b)]).sum(2) <= limit
+                    for i, j in zip(*np.nonzero(near), strict=True):
+                        x, y = top(at - a + int(i)), top(other - a + int(j))
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+            found += [(fps[a + i], fps[a + r]) for i in range(b - a) if (r := top(i)) != i]
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+    dealt = sketches.mapInPandas(deal, "key long, fp long").repartition("key").mapInPandas(met, "key long, fp long")
+    full = dealt.join(sketches, "fp").select("key", "fp", "sketch").repartition("key")
+    return full.mapInPandas(compare, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies, that of the smallest doc_id; columns stay as they are.
+
+    Near copies are texts whose sketches over shingles of n words tell a Jaccard similarity of at least
+    the given one (standard error under 0.025). Texts without words are copies of each other. Rows of
+    one doc_id count as copies if their texts are in one group, and one of them stays; a row of a null
+    doc_id stays only where its group has no other; an empty table gives no rows.
     """
-    found = groups(docs, n, t)
-    kept = found.where("doc_id <=> component_id").select("doc_id", "fp").distinct().withColumnRenamed("doc_id", "kept_id")
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(docs.columns)
+    name = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "sketch": [wide_sketch(t, n) for t in batch["text"]]})
+
+    told = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sketch binary")
+    sketches = stored(told.groupBy("sketch").agg(F.min(name).alias("least")).withColumn("fp", F.xxhash64("sketch")))
+    joined = components(wide_links(sketches.select("fp", "sketch"), sketches.count(), similarity))
+    named = sketches.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
+    first = docs.withColumn("kept_id", name).dropDuplicates(["kept_id"])
+    return first.join(kept, "kept_id").select(docs.columns)
