@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,7 +242,7 @@ RULES = [
 
 
 class Slices(Trace):
-    """Tables that several derived tables share."""
+    """Tables that several derived tables share: calls and history are kept, on disk where memory is short, as each is read many times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
@@ -248,9 +250,13 @@ class Slices(Trace):
         classes = "values ('op1', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op2', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op3', 'c1', 'slow', 60000000000L, 'engineering_proposal') t(signature, class_id, target_id, t_us, target_status)"
         self.goals = apdex_.targets(spark.sql("select * from " + direct), spark.sql("select * from " + classes))
 
-    @property
+    @cached_property
+    def observed(self) -> DataFrame:
+        return A.observations(self.events, self.linked).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
     def history(self) -> DataFrame:
-        return series.history(self.observed)
+        return series.history(self.observed).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def chatty(self) -> DataFrame:
