@@ -21,8 +21,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from sparktrace.llm.common import keeps, tidy
+
 #: Bounds of what a worker keeps; when one is reached that memory starts anew, results don't change.
-MOVES, WORDS, PAIRS = 1_500_000, 400_000, 1_000_000
+MOVES, WORDS, PAIRS = 400_000, 150_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -175,6 +177,9 @@ def machines(path: str, pattern: str) -> tuple[Words, Utf8, regex.Pattern]:
     return Words(machine), Utf8(machine.tokens), regex.compile(pattern)
 
 
+keeps("byte_bpe", machines.cache_clear)
+
+
 def encode_text(text: str | None, path: str, pattern: str) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     words, _, split = machines(path, pattern)
@@ -194,6 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy("byte_bpe")
         words = machines(path, pattern)[0]
         for batch in batches:
             if len(words) > WORDS:

@@ -17,8 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktrace.llm.common import tidy
+
 #: Bytes of text that a unit has on average at most.
-UNIT_CHARS = 8_000_000
+UNIT_CHARS = 4_000_000
 UNIT = "unit_of_rows"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,8 +32,15 @@ def sizes(docs: DataFrame) -> tuple[int, int, int]:
     return chars, max(2 * parts, -(-chars // UNIT_CHARS)), parts
 
 
-def dealt(docs: DataFrame, units: int) -> DataFrame:
-    return docs.withColumn(UNIT, F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
+def fresh(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def dealt(docs: DataFrame, units: int, name: str = UNIT) -> DataFrame:
+    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
 
 
 class Numbers(dict):
@@ -98,6 +107,7 @@ def answered(asked: DataFrame, decide: Callable[[np.ndarray, pd.DataFrame], np.n
     """Rows of ANSWER; decide gets a bucket's keys and its packed rows and returns one value per key."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
         sent = rows["keys"].map(len).to_numpy() // 8
         found = decide(keys, rows)

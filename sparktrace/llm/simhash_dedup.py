@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import components, stored
-from sparktrace.llm.exchange import ODD, mix
+from sparktrace.llm.common import components, keeps, stored, tidy
+from sparktrace.llm.exchange import ODD, fresh, mix
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -88,6 +88,9 @@ def code(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return syndrome, near.astype(np.int64), start, np.cumsum(counts, 1)
 
 
+keeps("simhash", code.cache_clear)
+
+
 def anchors(fps: np.ndarray, t: int, home: bool) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor): the home anchor of each fingerprint, or every anchor within covering radius + t."""
     reach = 2 * RADIUS + t
@@ -213,6 +216,7 @@ def wide_links(sketches: DataFrame, distinct: int, similarity: float) -> DataFra
             yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(batch["fp"].to_numpy(), count)})
 
     def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        tidy("simhash")
         held = [b for b in batches if len(b)]
         return pd.concat(held) if held else pd.DataFrame()
 
@@ -272,6 +276,7 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     sketches = stored(told.groupBy("sketch").agg(F.min(name).alias("least")).withColumn("fp", F.xxhash64("sketch")))
     joined = components(wide_links(sketches.select("fp", "sketch"), sketches.count(), similarity))
     named = sketches.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
-    first = docs.withColumn("kept_id", name).dropDuplicates(["kept_id"])
-    return first.join(kept, "kept_id").select(docs.columns)
+    key = fresh("kept_id", docs.columns)
+    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias(key)).select(key).distinct()
+    first = docs.withColumn(key, name).dropDuplicates([key])
+    return first.join(kept, key).select(docs.columns)

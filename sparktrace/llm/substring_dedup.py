@@ -18,13 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import stored
-from sparktrace.llm.exchange import PACKED, UNIT, answered, dealt, hashes, mix, pack, sizes, unpack, vocabulary
+from sparktrace.llm.common import stored, tidy
+from sparktrace.llm.exchange import PACKED, UNIT, answered, dealt, fresh, hashes, mix, pack, sizes, unpack, vocabulary
 
 DEPTH, BLOCK, MAX_CELLS = 2, 1 << 22, 1 << 28
 #: Windows of a stretch: a partition's sketch is sent whenever it has counted so many.
-STRETCH = 4_000_000
-NONE = np.iinfo(np.int64).max
+STRETCH = 2_000_000
+#: Order of documents: the doc_id, or this for a null one.
+NONE, ORDER = (1 << 63) - 1, "order_of_doc"
 
 
 def split(text: str | None) -> list[bytes]:
@@ -37,7 +38,7 @@ def windows(texts: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray
     if len(ids) < size:
         return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     of = hashes(known)
-    doc = np.repeat(np.arange(len(counts)), counts)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     last = len(ids) - size + 1
     at = np.flatnonzero(doc[:last] == doc[size - 1 :])
     both = []
@@ -97,6 +98,8 @@ def sketch(docs: DataFrame, size: int, cells: int) -> list[np.ndarray]:
                 held, n = [], 0
         if n:
             yield partial(held)
+        held.clear()
+        tidy()
 
     parts = docs.select("text").mapInPandas(count, "depth int, block int, small binary, large binary, twice binary")
     merged = parts.groupBy("depth", "block").applyInPandas(merge_blocks, "depth int, block int, bits binary")
@@ -118,6 +121,7 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
     """
     docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed")
     chars, units, buckets = sizes(docs)
+    unit, rank = fresh(UNIT, docs.columns), fresh(ORDER, docs.columns)
     cells = BLOCK
     while cells < min(MAX_CELLS, chars // 3):
         cells *= 2
@@ -137,16 +141,17 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
         new[1:] = (hashed[order][1:] != hashed[order][:-1]).any(1)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        names = rows["doc_id"].fillna(NONE).astype("int64").to_numpy() if len(rows) else np.zeros(0, np.int64)
+        names = rows[rank].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
         least = np.full(int(new.sum()), NONE)
         np.minimum.at(least, number, names[doc])
         return texts, hashed[order][new], number, doc, at, names, least
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         _, keys, _, _, _, _, least = suspects(rows)
         wide = np.empty(len(keys), [("h", "<u8"), ("d", "<i8")])
         wide["h"], wide["d"] = keys[:, 1], least
-        return pack(int(rows[UNIT].iloc[0]), keys[:, 0], wide, buckets)
+        return pack(int(rows[unit].iloc[0]), keys[:, 0], wide, buckets)
 
     def decide(keys: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
         """Per key and unit: the smallest doc_id over all units is smaller than the unit's own."""
@@ -160,6 +165,7 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
         return out
 
     def apply(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         texts, keys, number, doc, at, names, least = suspects(rows)
         elsewhere = unpack(keys[:, 0], answers, buckets, lambda data, n: np.frombuffer(data, np.uint8)).astype(bool)
         gone = elsewhere[number] | (names[doc] > least[number])
@@ -168,7 +174,7 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + size, -1)
         keep = np.cumsum(edge)[:-1] == 0
-        rows = rows.drop(columns=UNIT)
+        rows = rows.drop(columns=[unit, rank])
         kept = []
         for text, words, a, b in zip(rows["text"], texts, starts, starts[1:], strict=False):
             if digest or not keep[a:b].all():
@@ -182,10 +188,10 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
         texts = [k.decode("utf-8", "surrogatepass") if isinstance(k, bytes) else k for k in kept]
         return rows.assign(text=texts, n_words=n_words, n_removed=n_removed)
 
-    sent = dealt(docs, units)
-    answers = stored(answered(sent.groupBy(UNIT).applyInPandas(ask, PACKED), decide))
+    sent = dealt(docs, units, unit).withColumn(rank, F.coalesce("doc_id", F.lit(NONE)))
+    answers = stored(answered(sent.groupBy(unit).applyInPandas(ask, PACKED), decide))
     if digest:
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:
         schema = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    return sent.groupBy(UNIT).cogroup(answers.groupBy("unit")).applyInPandas(apply, schema)
+    return sent.groupBy(unit).cogroup(answers.groupBy("unit")).applyInPandas(apply, schema)

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktrace.llm.common import tidy
 from sparktrace.llm.exchange import distinct, vocabulary
 from sparktrace.llm.lsa_decontaminate import batches_of, words
 
@@ -24,7 +25,7 @@ WINDOW, STEP = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDE, HIDDEN = 16384, 8192, 12, 12
 TRIGRAMS = 24
 #: Words whose inputs a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 80_000
 #: Labelled rows of each class that training takes at most, and the longest text among them; documents that make a word frequent; share of words hidden in training.
 SAMPLE, LONGEST = {1: 1000, 0: 2000}, 12_000
 FREQUENT, DROP = 4, 0.2
@@ -147,7 +148,7 @@ class Network:
 
     def logits(self, gates_of: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Logits of windows given as word numbers (0: padding)."""
-        out = [self.run(gates_of[part.T], (part > 0).astype(np.float32)) for part in (ids[i : i + 4096] for i in range(0, len(ids), 4096))]
+        out = [self.run(gates_of[part.T], (part > 0).astype(np.float32)) for part in (ids[i : i + 2048] for i in range(0, len(ids), 2048))]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
@@ -315,6 +316,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         scorer = Scorer(shared.value)
         for ids, texts in batches_of(batches):
             scores = scorer.scores(texts).astype(float)
@@ -329,6 +331,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         scorer = Scorer(shared.value)
         for batch in batches:
             scores = [scorer.scores(texts) for _, texts in batches_of(iter([batch[["doc_id", "text"]]]))]
