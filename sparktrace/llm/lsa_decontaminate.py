@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktrace.llm.common import tidy
 from sparktrace.llm.exchange import UNIT_CHARS, distinct
 
 DIMS, SIZE = 8192, 32
@@ -104,6 +105,7 @@ def tallied(docs: DataFrame, test: np.ndarray) -> np.ndarray:
             each = np.repeat(pairs(sums, text)[nth], size, axis=0).T.astype(float)
             for k in range(TEST):
                 out[:, 3 + k] += np.bincount(dim, each[k], DIMS)
+        tidy()
         yield pd.DataFrame({"row": range(DIMS // ROW), "part": [out[i : i + ROW].tobytes() for i in range(0, DIMS, ROW)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +195,7 @@ class Items:
         self.answer_masks = [masks_of(a) for a in self.answers]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, common: float = 0.6, answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: float = 0.6, answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer) of every document that holds an item, verbatim or paraphrased.
 
     common is the share of the item's words in the longest common subsequence with the words around
@@ -211,6 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, common: fl
         shared = docs.sparkSession.sparkContext.broadcast((space, items))
 
         def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tidy()
             space, items = shared.value
             for ids, texts in batches_of(rows):
                 found = [(ids[d], items.names[i], *told) for d, i, told in candidates(texts, space, items, cosine, common, answer)]
