@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import components, keeps, stored, tidy
-from sparktrace.llm.exchange import ODD, fresh, mix
+from sparktrace.llm.exchange import ODD, distinct, fresh, mix
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -160,8 +160,8 @@ _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SKETCH // 64, dtype=np.u
 
 
 def wide_sketch(text: str | None, n: int) -> bytes:
-    """SKETCH bits by the rule of fingerprint, from as many hashes of each shingle; zero without words."""
-    parts = shingles(words(text), n)
+    """SKETCH bits by the rule of fingerprint, from as many hashes of each distinct shingle; zero without words."""
+    parts = set(shingles(words(text), n))
     if not parts:
         return bytes(SKETCH // 8)
     one = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
@@ -188,14 +188,13 @@ def tables(distinct: int, similarity: float) -> tuple[int, int]:
     return int(np.ceil(np.log(1 - SAME) / np.log(1 - meet))), more
 
 
-def wide_links(sketches: DataFrame, distinct: int, similarity: float) -> DataFrame:
+def wide_links(sketches: DataFrame, among: int, similarity: float) -> DataFrame:
     """Links (a, b) between rows (fp, sketch) of distinct sketches that differ in no more bits than the similarity allows.
 
     Each table takes HALF of the bits to the nearest anchor of the covering code, with some further
-    bits as they are; all sketches at one anchor of one table are compared, in blocks, and told as a
-    tree of links per anchor. A pair at the similarity meets in some table with probability SAME.
+    bits as they are; all sketches at one anchor of one table are compared, in blocks. A pair at the similarity meets in some table with probability SAME.
     """
-    count, more = tables(distinct, similarity)
+    count, more = tables(among, similarity)
     rng = np.random.default_rng(9)
     chosen = np.stack([rng.permutation(SKETCH)[: HALF + more] for _ in range(count)])
     limit = int(differing(similarity) * SKETCH * 1.07)
@@ -235,22 +234,10 @@ def wide_links(sketches: DataFrame, distinct: int, similarity: float) -> DataFra
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         found = []
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), strict=True):
-            root = list(range(b - a))
-
-            def top(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
             for at in range(a, b, 256):
                 for other in range(at, b, 4096):
                     near = np.bitwise_count(words_[at : min(at + 256, b), None] ^ words_[None, other : min(other + 4096, b)]).sum(2) <= limit
-                    for i, j in zip(*np.nonzero(near), strict=True):
-                        x, y = top(at - a + int(i)), top(other - a + int(j))
-                        if x != y:
-                            root[max(x, y)] = min(x, y)
-            found += [(fps[a + i], fps[a + r]) for i in range(b - a) if (r := top(i)) != i]
+                    found += [(fps[at + i], fps[other + j]) for i, j in zip(*np.nonzero(near), strict=True) if at + i < other + j]
         yield pd.DataFrame(found, columns=["a", "b"])
 
     dealt = sketches.mapInPandas(deal, "key long, fp long").repartition("key").mapInPandas(met, "key long, fp long")
@@ -258,23 +245,55 @@ def wide_links(sketches: DataFrame, distinct: int, similarity: float) -> DataFra
     return full.mapInPandas(compare, "a long, b long")
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    parts = set(shingles(words(text), n))
+    return distinct(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+
+
+def alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts, of rows (fp, text), have an exact Jaccard similarity of at least the given one over their sets of shingles."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"fp": batch["fp"], "found": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                both = len(x) // 8 + len(y) // 8
+                common = both - len(distinct(np.frombuffer(x + y, np.uint64)))
+                good.append(common >= similarity * (both - common) - 1e-9)
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
+
+    pairs = stored(pairs.distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    found = stored(texts.join(needed, "fp", "left_semi").mapInPandas(sets, "fp long, found binary"))
+    side = lambda end, name: found.select(F.col("fp").alias(end), F.col("found").alias(name))
+    return stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, "a long, b long"))
+
+
 def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id; columns stay as they are.
 
-    Near copies are texts whose sketches over shingles of n words tell a Jaccard similarity of at least
-    the given one (standard error under 0.025). Texts without words are copies of each other. Rows of
+    Near copies are texts whose sets of shingles of n words have a Jaccard similarity of at least
+    the given one, decided exactly for the pairs that sketches propose. Texts without words are copies of each other. Rows of
     one doc_id count as copies if their texts are in one group, and one of them stays; a row of a null
     doc_id stays only where its group has no other; an empty table gives no rows.
     """
     name = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "sketch": [wide_sketch(t, n) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row": batch["row"], "sketch": [wide_sketch(t, n) + xxhash.xxh3_64_digest(shingle_set(t, n).tobytes()) for t in batch["text"]]})
 
-    told = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sketch binary")
-    sketches = stored(told.groupBy("sketch").agg(F.min(name).alias("least")).withColumn("fp", F.xxhash64("sketch")))
-    joined = components(wide_links(sketches.select("fp", "sketch"), sketches.count(), similarity))
+    told = docs.select("doc_id", "text", row.alias("row")).mapInPandas(run, "doc_id long, row long, sketch binary")
+    sketches = stored(told.groupBy("sketch").agg(F.min(name).alias("least"), F.min("row").alias("row")).withColumn("fp", F.xxhash64("sketch")))
+    texts = docs.select(row.alias("row"), "text").join(sketches.select("row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
+    proposed = wide_links(sketches.select("fp", F.expr(f"substring(sketch, 1, {SKETCH // 8})").alias("sketch")), sketches.count(), similarity)
+    joined = components(alike(proposed, texts, n, similarity))
     named = sketches.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
     kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias(key)).select(key).distinct()

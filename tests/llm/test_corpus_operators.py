@@ -128,6 +128,14 @@ def test_near_copies_go(spark):
     assert simhash_dedup.one_of_each(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_shared_repetition_is_no_copy(spark):
+    rng = random.Random(3)
+    line = [f"line{i}" for i in range(12)] * 40
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(200)] + line)) for i in range(12)]
+    rows += [(100, rows[0][1] + " end")]
+    assert {r.doc_id for r in simhash_dedup.one_of_each(frame(spark, rows)).collect()} == set(range(12))
+
+
 def suffix_brute(rows, length):
     starts = collections.Counter()
     for _, t in rows:
