@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import components, keeps, stored, tidy
-from sparktrace.llm.exchange import ODD, distinct, fresh, mix
+from sparktrace.llm.exchange import distinct, fresh
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -153,102 +153,93 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
     return groups(docs, n, t).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Wider sketches, for similarities at which 64 bits differ in more places than a radius can cover.
+# Near copies by exact Jaccard similarity, for similarities at which 64 bits differ in more places than a radius can cover.
 
-SKETCH, SAME = 512, 0.95
-_SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SKETCH // 64, dtype=np.uint64) * 2 + 1
+#: Characters of the sample that tells frequent shingles, how often those are there at least, and how many are told at most. They only order the shingles; results don't depend on them.
+SAMPLE_CHARS, FREQUENT, TOLD = 16_000_000, 3, 200_000
+#: Keys in a task of the join, on average at most.
+TASK_KEYS = 2_000_000
 
 
-def wide_sketch(text: str | None, n: int) -> bytes:
-    """SKETCH bits by the rule of fingerprint, from as many hashes of each distinct shingle; zero without words."""
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
     parts = set(shingles(words(text), n))
-    if not parts:
-        return bytes(SKETCH // 8)
-    one = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
-    hashes = mix(one[:, None] * _SEEDS)
-    cells = hashes.view(np.uint8).reshape(len(parts), -1).astype(np.int64) + np.arange(0, SKETCH * 32, 256)
-    votes = np.bincount(cells.ravel(), minlength=SKETCH * 32).reshape(-1, 256).astype(np.float64) @ _EIGHT
-    return np.packbits(2 * votes.ravel() > len(parts), bitorder="little").tobytes()
+    return distinct(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+
+
+def least_common(size: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Shingles that a set of some size shares at least with any set of the similarity."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, texts that have them) of shingles that are frequent in a sample of bounded size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, n) for t in batch["text"]]
+            yield pd.DataFrame({"h": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
+
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-chars // SAMPLE_CHARS) or 1)) == 0)
+    rows = part.select("text").mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TOLD).toPandas()
+    keys, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
-def differing(similarity: float) -> float:
-    """Share of bits in which sketches differ at a Jaccard similarity, for sets of one size."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def rare_first(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted hashes in one order for all texts: those not known as frequent, then by how frequent they are."""
+    keys, counts = often
+    if not len(keys):
+        return found
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
 
 
-def tables(distinct: int, similarity: float) -> tuple[int, int]:
-    """(tables, further bits): as many further bits as keep chance meetings rare among so many sketches, and tables for a recall of SAME at the similarity."""
-    more = max(0, int(np.ceil(np.log2(max(distinct, 2)))) + 2 - 12)
-    p = differing(similarity)
-    syndrome, near, start, _ = code(2 * RADIUS + 2)
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 1 << HALF, 200_000)
-    y = x ^ ((rng.random((len(x), HALF)) < p) @ (1 << np.arange(HALF)))
-    meet = float((x ^ near[start[syndrome[x]]] == y ^ near[start[syndrome[y]]]).mean()) * (1 - p) ** more
-    return int(np.ceil(np.log(1 - SAME) / np.log(1 - meet))), more
+def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    tidy("simhash")
+    held = [b for b in batches if len(b)]
+    return pd.concat(held, ignore_index=True) if held else pd.DataFrame()
 
 
-def wide_links(sketches: DataFrame, among: int, similarity: float) -> DataFrame:
-    """Links (a, b) between rows (fp, sketch) of distinct sketches that differ in no more bits than the similarity allows.
+def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose key another row of the task has too."""
+    rows = gathered(batches)
+    if len(rows):
+        yield rows[rows["key"].duplicated(keep=False)]
 
-    Each table takes HALF of the bits to the nearest anchor of the covering code, with some further
-    bits as they are; all sketches at one anchor of one table are compared, in blocks. A pair at the similarity meets in some table with probability SAME.
+
+def proposed(rows: DataFrame, similarity: float, neighbours: bool) -> DataFrame:
+    """Pairs (a, b) of different components among rows (key, fp, n, component) that share enough keys to reach the similarity.
+
+    With p of its n shingles as keys, a set has n - p others. Of the shingles that two sets share, all
+    that aren't keys of both are among the others of one of them, so they share no more than their
+    common keys and the greater number of others. With neighbours, only sets next to each other by size at a
+    key are paired: few pairs, but not all.
     """
-    count, more = tables(among, similarity)
-    rng = np.random.default_rng(9)
-    chosen = np.stack([rng.permutation(SKETCH)[: HALF + more] for _ in range(count)])
-    limit = int(differing(similarity) * SKETCH * 1.07)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        syndrome, near, start, _ = code(2 * RADIUS + 2)
-        powers = 1 << np.arange(HALF + more, dtype=np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
-            keys = []
-            for j, columns in enumerate(chosen):
-                value = bits[:, columns].astype(np.int64) @ powers
-                half = value & (1 << HALF) - 1
-                anchor = half ^ near[start[syndrome[half]]]
-                keys.append(mix((value >> HALF << HALF | anchor).astype(np.uint64) * ODD + np.uint64(j)))
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(batch["fp"].to_numpy(), count)})
-
-    def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        tidy("simhash")
-        held = [b for b in batches if len(b)]
-        return pd.concat(held) if held else pd.DataFrame()
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = gathered(batches)
-        if len(rows):
-            yield rows[rows["key"].duplicated(keep=False)]
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = gathered(batches)
         if not len(rows):
             return
-        rows = rows.sort_values(["key", "fp"])
-        key, fps = rows["key"].to_numpy(), rows["fp"].to_numpy()
-        words_ = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1)
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        found = []
-        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), strict=True):
-            for at in range(a, b, 256):
-                for other in range(at, b, 4096):
-                    near = np.bitwise_count(words_[at : min(at + 256, b), None] ^ words_[None, other : min(other + 4096, b)]).sum(2) <= limit
-                    found += [(fps[at + i], fps[other + j]) for i, j in zip(*np.nonzero(near), strict=True) if at + i < other + j]
-        yield pd.DataFrame(found, columns=["a", "b"])
-
-    dealt = sketches.mapInPandas(deal, "key long, fp long").repartition("key").mapInPandas(met, "key long, fp long")
-    full = dealt.join(sketches, "fp").select("key", "fp", "sketch").repartition("key")
-    return full.mapInPandas(compare, "a long, b long")
-
-
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    parts = set(shingles(words(text), n))
-    return distinct(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+        rows = rows.sort_values(["key", "n", "fp"])
+        key, fp, n, of = (rows[c].to_numpy() for c in ("key", "fp", "n", "component"))
+        others = least_common(n, similarity) - 1
+        at, d = np.arange(len(key)), 0
+        while len(at) and not (neighbours and d):
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[(key[at] == key[at + d]) & (n[at] >= least_common(n[at + d], similarity))]
+            for part in range(0, len(at), 100_000):
+                x = at[part : part + 100_000]
+                x = x[of[x] != of[x + d]]
+                y = x + d
+                need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64) - np.maximum(others[x], others[y])
+                yield pd.DataFrame({"a": np.minimum(fp[x], fp[y]), "b": np.maximum(fp[x], fp[y]), "need": need})
+
+    pairs = rows.mapInPandas(run, "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("need").alias("need")).where("keys >= need").select("a", "b")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -267,9 +258,9 @@ def alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Data
                 good.append(common >= similarity * (both - common) - 1e-9)
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
-    pairs = stored(pairs.distinct())
+    pairs = stored(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    found = stored(texts.join(needed, "fp", "left_semi").mapInPandas(sets, "fp long, found binary"))
+    found = stored(texts(needed).mapInPandas(sets, "fp long, found binary"))
     side = lambda end, name: found.select(F.col("fp").alias(end), F.col("found").alias(name))
     return stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, "a long, b long"))
 
@@ -277,24 +268,42 @@ def alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Data
 def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id; columns stay as they are.
 
-    Near copies are texts whose sets of shingles of n words have a Jaccard similarity of at least
-    the given one, decided exactly for the pairs that sketches propose. Texts without words are copies of each other. Rows of
+    Near copies are texts whose sets of shingles of n words have a Jaccard similarity of at least the
+    given one. All such pairs are found: in one order of all shingles, rare ones first, each set sends its first
+    ones, so many that two sets of the similarity share one of them (prefix filter), and each pair
+    that shares enough is decided by its whole sets. Pairs of neighbours come first, and pairs that those
+    have brought into one group aren't looked at again. Texts without words are copies of each other. Rows of
     one doc_id count as copies if their texts are in one group, and one of them stays; a row of a null
     doc_id stays only where its group has no other; an empty table gives no rows.
     """
     name = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row": batch["row"], "sketch": [wide_sketch(t, n) + xxhash.xxh3_64_digest(shingle_set(t, n).tobytes()) for t in batch["text"]]})
-
-    told = docs.select("doc_id", "text", row.alias("row")).mapInPandas(run, "doc_id long, row long, sketch binary")
-    sketches = stored(told.groupBy("sketch").agg(F.min(name).alias("least"), F.min("row").alias("row")).withColumn("fp", F.xxhash64("sketch")))
-    texts = docs.select(row.alias("row"), "text").join(sketches.select("row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
-    proposed = wide_links(sketches.select("fp", F.expr(f"substring(sketch, 1, {SKETCH // 8})").alias("sketch")), sketches.count(), similarity)
-    joined = components(alike(proposed, texts, n, similarity))
-    named = sketches.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+            found = [shingle_set(t, n) for t in batch["text"]]
+            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            size = np.array([len(x) for x in found], np.int64)
+            first = np.where(size > 0, size - least_common(size, similarity) + 1, 0)
+            keys = [rare_first(x, often.value)[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row": batch["row"], "fp": fps, "n": size, "keys": keys})
+
+    told = stored(docs.select("doc_id", "text", row.alias("row")).mapInPandas(run, "doc_id long, row long, fp long, n long, keys array<long>"))
+    sets = stored(told.groupBy("fp").agg(F.min("row").alias("row"), F.min(name).alias("least")))
+    total = told.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
+    keys = told.select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "n")
+    shared = stored(keys.repartition(parts, "key").mapInPandas(met, "key long, fp long, n long"))
+
+    def texts(needed: DataFrame) -> DataFrame:
+        return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
+
+    near = alike(proposed(shared.withColumn("component", F.col("fp")).repartition(parts, "key"), similarity, True), texts, n, similarity)
+    grouped = shared.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rest = alike(proposed(grouped.select("key", "fp", "n", "component").repartition(parts, "key"), similarity, False), texts, n, similarity)
+    joined = components(near.unionByName(rest))
+    named = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
     kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias(key)).select(key).distinct()
     first = docs.withColumn(key, name).dropDuplicates([key])

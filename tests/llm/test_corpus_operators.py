@@ -136,6 +136,40 @@ def test_shared_repetition_is_no_copy(spark):
     assert {r.doc_id for r in simhash_dedup.one_of_each(frame(spark, rows)).collect()} == set(range(12))
 
 
+@pytest.mark.parametrize("often", [1, 10**9])
+def test_near_copies_against_all_pairs(spark, monkeypatch, often):
+    monkeypatch.setattr(simhash_dedup, "FREQUENT", often, raising=False)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(6, 300))]
+        texts.append(base)
+        for _ in range(4):
+            near = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(5000)}"
+            texts.append(near[rng.randint(0, len(near) // 12) :])
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            share = len(a & sets[j]) / len(a | sets[j])
+            close += 0.75 <= share < 0.85
+            if share >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    left = [r.doc_id for r in simhash_dedup.one_of_each(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()]
+    assert close > 30 and sorted(left) == [i for i in range(len(texts)) if top(i) == i]
+
+
 def suffix_brute(rows, length):
     starts = collections.Counter()
     for _, t in rows:
