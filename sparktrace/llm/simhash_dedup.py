@@ -272,12 +272,12 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     given one. All such pairs are found: in one order of all shingles, rare ones first, each set sends its first
     ones, so many that two sets of the similarity share one of them (prefix filter), and each pair
     that shares enough is decided by its whole sets. Pairs of neighbours come first, and pairs that those
-    have brought into one group aren't looked at again. Texts without words are copies of each other. Rows of
-    one doc_id count as copies if their texts are in one group, and one of them stays; a row of a null
-    doc_id stays only where its group has no other; an empty table gives no rows.
+    have brought into one group aren't looked at again. Texts without words are copies of each other. Rows
+    are told apart by doc_id and text: of rows equal in both one stays, rows of one doc_id or a null one whose texts are in
+    different groups all stay, and of those in one group one. A row of a null doc_id stays only where
+    its group has no other; an empty table gives no rows.
     """
-    name = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    nameless, row = F.col("doc_id").isNull(), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,17 +287,17 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             size = np.array([len(x) for x in found], np.int64)
             first = np.where(size > 0, size - least_common(size, similarity) + 1, 0)
             keys = [rare_first(x, often.value)[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row": batch["row"], "fp": fps, "n": size, "keys": keys})
+            yield pd.DataFrame({"nameless": batch["nameless"], "doc_id": batch["doc_id"], "row": batch["row"], "fp": fps, "n": size, "keys": keys})
 
-    told = stored(docs.select("doc_id", "text", row.alias("row")).mapInPandas(run, "doc_id long, row long, fp long, n long, keys array<long>"))
-    sets = stored(told.groupBy("fp").agg(F.min("row").alias("row"), F.min(name).alias("least")))
+    told = stored(docs.select(nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", row.alias("row")).mapInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
+    sets = stored(told.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "row")).alias("least")))
     total = told.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
     keys = told.select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "n")
     shared = stored(keys.repartition(parts, "key").mapInPandas(met, "key long, fp long, n long"))
 
     def texts(needed: DataFrame) -> DataFrame:
-        return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
+        return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("least.row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
 
     near = alike(proposed(shared.withColumn("component", F.col("fp")).repartition(parts, "key"), similarity, True), texts, n, similarity)
     grouped = shared.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -305,6 +305,6 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     joined = components(near.unionByName(rest))
     named = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
-    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias(key)).select(key).distinct()
-    first = docs.withColumn(key, name).dropDuplicates([key])
+    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least")["row"].alias(key)).select(key)
+    first = docs.withColumn(key, row).dropDuplicates([key])
     return first.join(kept, key).select(docs.columns)

@@ -170,6 +170,14 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, often):
     assert close > 30 and sorted(left) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_rows_without_own_id_stay(spark):
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (None, text[3]), (2**60 + 1, text[4]), (3, text[4]), ((1 << 63) - 1, text[5]), (None, text[5])]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash_dedup.one_of_each(frame(spark, rows)).collect()))
+    assert got == sorted([(True, 0, text[0]), (True, 0, text[1]), (False, 7, text[2]), (False, 7, text[3]), (False, 3, text[4]), (False, (1 << 63) - 1, text[5])])
+
+
 def suffix_brute(rows, length):
     starts = collections.Counter()
     for _, t in rows:
