@@ -4,7 +4,8 @@ TF-IDF vectors of all passages of all documents (hashed words, DIMS dimensions)
 SVD: with a random test matrix R, each task adds its part of C = A'A R, the parts are summed, and the
 right singular vectors V follow from C and R'C alone (Nystroem). Passages and benchmark items are
 centred and projected: whitened on V, and by random directions on what V leaves over, since texts
-without common topics differ mostly there. Pairs of high cosine are candidates. A candidate is a leak if the
+without common topics differ mostly there. Pairs of high cosine are candidates, and so is every passage that
+has GRAM words of an item in a row, whatever its cosine. A candidate is a leak if the
 longest common subsequence of the item's words and the words around the passage is long enough and
 the item's answer (its last words) is in it; so reordering, insertions and replacements are seen
 through up to a point, and common words alone don't make a leak.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import tidy
-from sparktrace.llm.exchange import UNIT_CHARS, distinct
+from sparktrace.llm.exchange import ODD, UNIT_CHARS, distinct, mix
 
 DIMS, SIZE = 8192, 32
 #: Columns of the test matrix, singular vectors kept, and random directions for the rest.
@@ -38,6 +39,8 @@ BLOCK = 20_000
 SHIFT = 8
 #: Items of fewer words are no evidence of a leak.
 LEAST_WORDS = 8
+#: Words in a row that make a passage a candidate for the items that have them.
+GRAM = 3
 _PLAIN = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
 
@@ -52,6 +55,19 @@ def terms(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()).astype(np.int64) % DIMS, counts
 
 
+def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each run of GRAM words, its text, its place in there)."""
+    counts = np.array([len(words) for words in texts], np.int64)
+    code = np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()).astype(np.uint64) * ODD
+    text = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
+    full = np.flatnonzero(at + GRAM <= counts[text]) if len(code) else np.zeros(0, np.int64)
+    found = np.zeros(len(full), np.uint64)
+    for k in range(GRAM):
+        found = mix(found * ODD + code[full + k])
+    return found, text[full], at[full]
+
+
 def halves(dim: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive half passages of texts: (sum of the weights of each one's words, its words, its text).
 
@@ -188,6 +204,11 @@ class Items:
         vectors, text = space.vectors(dim, counts)
         first = np.searchsorted(text, np.arange(len(at)))
         self.item, self.vectors = np.array([i for _, i in at]), vectors[first]
+        gram, of, _ = grams([w for _, w in rows])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.gram_item = gram[order], of[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.gram >> np.uint64(42)] = True
         self.names = [i for i, _ in rows]
         self.words = [w for _, w in rows]
         self.masks = [masks_of(w) for w in self.words]
@@ -234,6 +255,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: f
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
 
 
+def runs_shared(texts: list[list[bytes]], first: np.ndarray, items: Items) -> np.ndarray:
+    """Distinct rows (half passage, item) where GRAM words in a row of the item begin; first is the first half of each text."""
+    gram, text, at = grams(texts)
+    hit = np.flatnonzero(items.maybe[gram >> np.uint64(42)])
+    low, high = (np.searchsorted(items.gram, gram[hit], side) for side in ("left", "right"))
+    hit, low, many = hit[high > low], low[high > low], (high - low)[high > low]
+    which = np.repeat(hit, many)
+    item = items.gram_item[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(which))]
+    width = np.int64(len(items.words))
+    return np.stack(np.divmod(distinct((first[text[which]] + at[which] // STEP) * width + item), width), axis=1)
+
+
 def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: float, common: float, answer: float) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
     """(text, item, (cosine, common, answer)) of leaks among all passages of some texts."""
     dim, counts = terms(texts)
@@ -245,8 +278,8 @@ def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: flo
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     checked: set[tuple[int, int]] = set()
     rows, cols = np.divmod(np.flatnonzero(near.ravel() >= cosine), near.shape[1])
-    for passage, column in zip(rows.tolist(), cols.tolist(), strict=True):
-        i = int(items.item[column])
+    shared = runs_shared(texts, first, items)
+    for passage, i, column in chain(zip(rows.tolist(), items.item[cols].tolist(), cols.tolist(), strict=True), ((p, i, None) for p, i in shared.tolist())):
         if (passage, i) in checked:
             continue
         checked.add((passage, i))
@@ -256,7 +289,7 @@ def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: flo
         there = set(around)
         if sum(w in there for w in whole) < common * len(whole):
             continue
-        told = (float(near[passage, column]), common_subsequence(items.masks[i], len(whole), around) / len(whole), common_subsequence(items.answer_masks[i], len(items.answers[i]), around) / len(items.answers[i]))
+        told = (float(near[passage, column] if column is not None else near[passage, items.item == i].max()), common_subsequence(items.masks[i], len(whole), around) / len(whole), common_subsequence(items.answer_masks[i], len(items.answers[i]), around) / len(items.answers[i]))
         if told[1] >= common and told[2] >= answer and told[1:] > best.get((d, i), (0, 0, 0))[1:]:
             best[d, i] = told
     for (d, i), told in sorted(best.items()):

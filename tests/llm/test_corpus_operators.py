@@ -306,6 +306,20 @@ def test_leaks(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got if d is not None}
 
 
+def test_leaks_at_any_cosine(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(n) for n in range(8, 68)]
+    docs = []
+    for i, item in enumerate(items):
+        body, at = text(300), rng.randrange(300)
+        docs.append((i, " ".join(body[:at] + [w for k, w in enumerate(item) if i % 2 == 0 or k % 7 != 6] + body[at:])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in lsa_decontaminate.leaks(frame(spark, docs), bench, cosine=1.1).collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(50):
