@@ -104,7 +104,10 @@ def members(path: str, content: bytes) -> Iterator[tuple[int, str, bytes, str]]:
         else:
             t = tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
             listed = [(i, x.name, x.size, lambda x=x: t.extractfile(x).read()) for i, x in enumerate(t.getmembers()) if x.isfile()]
-        for ordinal, name, size, read in listed[:MAX_MEMBERS]:
+        if len(listed) > MAX_MEMBERS:
+            yield -1, "", b"", f"archive_error: {len(listed)} files, more than {MAX_MEMBERS}"
+            return
+        for ordinal, name, size, read in listed:
             if not name.lower().endswith(".log"):
                 continue
             total += size
@@ -187,7 +190,7 @@ def files(found: DataFrame, salvage_nul_prefix: bool = False) -> DataFrame:
 
     out = found.mapInPandas(run, "path string, member_ordinal long, logical string, dataset_id string, capture_id string, process string, size_bytes long, analyzed_bytes long, status string, reason string, nul_offset long, sha256 string")
     first = F.row_number().over(Window.partitionBy("logical", "sha256").orderBy("path", "member_ordinal"))
-    return out.withColumn("source_id", F.sha2(F.to_json(F.array(F.lit("source/v1"), "logical")), 256)).withColumn("status", F.when((first > 1) & F.col("status").startswith("valid"), "skipped_duplicate").otherwise(F.col("status")))
+    return out.withColumn("source_id", F.sha2(F.to_json(F.array(F.lit("source/v1"), "logical")), 256)).withColumn("status", F.when((first > 1) & (F.col("status") != "skipped"), "skipped_duplicate").otherwise(F.col("status")))
 
 
 KNOWN = ["Usr", "OSThread", "SessionID", "t:connectID", "Dbpid", "Context", "CpuTime", "Memory", "MemoryPeak", "InBytes", "OutBytes", "RowsAffected", "Sql", "Func", "IName", "MName", "Form", "FormItem", "Descr", "Description", "DBMS"]
@@ -195,7 +198,7 @@ RECORDS = "logical string, dataset_id string, capture_id string, process string,
 
 
 def records(found: DataFrame, salvage_nul_prefix: bool = False) -> DataFrame:
-    """One row per record of the sources that can be analysed; a head that doesn't parse is kept as parse_error."""
+    """One row per record of the sources that can be analysed, those that files calls skipped_duplicate left out; a head that doesn't parse is kept as parse_error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORDS.replace("map<string,string>", "map").split(", ")]
@@ -215,7 +218,11 @@ def records(found: DataFrame, salvage_nul_prefix: bool = False) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return found.mapInPandas(run, RECORDS)
+    first = F.row_number().over(Window.partitionBy("logical", "sha256").orderBy("path", "member_ordinal"))
+    names = found.select("path", "member_ordinal", "logical", F.sha2("content", 256).alias("sha256")).withColumn("nth", first)
+    again = names.where("nth > 1").select("path", F.coalesce("member_ordinal", F.lit(-1)).alias("ordinal"), "logical")
+    once = found.withColumn("ordinal", F.coalesce("member_ordinal", F.lit(-1))).join(again, ["path", "ordinal", "logical"], "left_anti")
+    return once.select(found.columns).mapInPandas(run, RECORDS)
 
 
 def events(parsed: DataFrame) -> DataFrame:

@@ -65,3 +65,24 @@ def test_logs_to_tables(spark, tmp_path):
     assert aggregates.rollup(linked).first().db_count == 1
     assert "where t1 . id = <number>" in sqlnorm.dictionary(events).first().normalized_sql
     assert {r.message for r in linked.where("event_type = 'EXCP'").collect()} == {"It's bad"}
+
+
+def test_too_many_members_are_told(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for i in range(4):
+            z.writestr(f"rphost_1/2609031{i}.log", LOG)
+    monkeypatch.setattr(tj, "MAX_MEMBERS", 3)
+    got = list(tj.members("many.zip", (tmp_path / "many.zip").read_bytes()))
+    assert len(got) == 1 and got[0][3].startswith("archive_error")
+    monkeypatch.setattr(tj, "MAX_MEMBERS", 4)
+    assert len(list(tj.members("many.zip", (tmp_path / "many.zip").read_bytes()))) == 4
+
+
+def test_repeated_members_count_once(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "twice.zip", "w") as z:
+        z.writestr("rphost_1/26090310.log", LOG)
+        z.writestr("rphost_1/26090310.log", LOG)
+        z.writestr("rphost_1/26090310.log", LOG + LOG)
+    found = tj.sources(spark, str(tmp_path))
+    assert sorted(r.status for r in tj.files(found).collect()) == ["skipped_duplicate", "valid", "valid"]
+    assert tj.records(found).count() == 9
