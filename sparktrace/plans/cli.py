@@ -40,6 +40,13 @@ def analyze(spark: SparkSession, logs: str, archive_mode: str = "auto", salvage:
     }
 
 
+def refused(settings: dict) -> list[str]:
+    """Settings that are given but that derive doesn't follow."""
+    given = {"measurement_ids": settings["measurement_ids"] is not None, "operations.measurement_order": bool(settings["operations"]["measurement_order"])}
+    given |= {f"{section}.{key}": settings[section][key] != default for section in ("apdex", "problems") for key, default in config.SECTIONS[section].items()}
+    return sorted(name for name, there in given.items() if there)
+
+
 def derive(saved: dict[str, DataFrame], settings: dict) -> dict[str, DataFrame]:
     """Tables that need nothing but calls and links; others are built from the same parts with targets and rules."""
     calls, c = saved["call_observations"], settings["db_chatty"]
@@ -87,6 +94,8 @@ def main(argv: list[str]) -> int:
             print(bundle.save(spark, tables, args.output_dir, args.overwrite))
         elif args.command == "derive":
             settings = config.load("\n".join(r.value for r in spark.read.text(args.config).collect()))
+            if unread := refused(settings):
+                raise config.ConfigError(f"derive doesn't follow {unread}")
             saved = bundle.load(spark, args.analysis_dir, settings["expected_bundle_id"])
             built = derive(saved, settings)
             chosen = settings["slices"] or sorted(built)

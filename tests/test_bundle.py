@@ -54,3 +54,10 @@ def test_tampering_is_seen(spark, tmp_path):
         bundle.load(spark, str(tmp_path / "b"))
     with pytest.raises(ValueError):
         bundle.load(spark, str(tmp_path / "b"), "other", verify=False)
+
+
+@pytest.mark.parametrize("given", [{"measurement_ids": ["a@b"]}, {"operations": {"measurement_order": ["a@b"]}}, {"apdex": {"targets": [{"signature": "s"}]}}, {"apdex": {"min_call_count": 3}}, {"problems": {"series_id": "s"}}])
+def test_settings_that_derive_does_not_follow(given):
+    settings = config.load(json.dumps({"config_version": "1.0"} | given))
+    assert len(cli.refused(settings)) == 1
+    assert not cli.refused(config.load('{"config_version": "1.0", "db_chatty": {"thresholds": [1]}}'))
