@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from sparktrace.llm.common import keeps, tidy
+from sparktrace.llm.common import keeps, named, numbered, tidy
 
 #: Bounds of what a worker keeps; when one is reached that memory starts anew, results don't change.
 MOVES, WORDS, PAIRS = 1_500_000, 400_000, 1_000_000
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     A null text counts as empty and gives no tokens; a null doc_id stays null; repeated rows give
     repeated results; further columns are ignored; an empty table gives no rows.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy("byte_bpe")
@@ -214,4 +214,4 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return numbered(named(docs, "text").mapInPandas(run, schema))

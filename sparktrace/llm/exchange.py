@@ -21,15 +21,25 @@ from sparktrace.llm.common import tidy
 
 #: Bytes of text that a unit has on average at most.
 UNIT_CHARS = 4_000_000
+#: Characters of text whose keys a bucket answers on average at most.
+BUCKET_CHARS = 16_000_000
+#: Units and buckets that a task works on one after another, at most on average.
+UNITS_EACH, BUCKETS_EACH = 16, 4
 UNIT = "unit_of_rows"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sizes(docs: DataFrame) -> tuple[int, int, int]:
-    """(characters, units, buckets) from all rows and the session's shuffle partitions."""
+    """(characters, units, buckets) from all rows and the session's shuffle partitions; units and buckets keep their size as the input grows."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chars, max(2 * parts, -(-chars // UNIT_CHARS)), parts
+    return chars, max(2 * parts, -(-chars // UNIT_CHARS)), max(parts, -(-chars // BUCKET_CHARS))
+
+
+def spread(df: DataFrame, key: str, groups: int, each: int) -> DataFrame:
+    """df dealt by key to more tasks than the session's shuffle partitions where a task would else hold more than each groups."""
+    tasks = -(-groups // each)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -90,12 +100,19 @@ def raw(values: np.ndarray) -> bytes:
     return values.tobytes()
 
 
-def pack(unit: int, keys: np.ndarray, more: np.ndarray, buckets: int, encode: Callable[[np.ndarray], bytes] = raw, first: int = 0) -> pd.DataFrame:
-    """One row per bucket (numbered from first) that has any of the keys: 64-bit keys, distinct and sorted, and a value for each."""
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(keys in order of their buckets, the buckets that have any, where each one's keys begin and the last one's end)."""
     at = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-    rows = [(first + b, unit, keys[o].tobytes(), encode(more[o])) for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
+    there = at[order]
+    cuts = np.flatnonzero(np.append(True, there[1:] != there[:-1])) if len(there) else np.zeros(0, np.int64)
+    return order, there[cuts].tolist(), [*cuts.tolist(), len(there)]
+
+
+def pack(unit: int, keys: np.ndarray, more: np.ndarray, buckets: int, encode: Callable[[np.ndarray], bytes] = raw, first: int = 0) -> pd.DataFrame:
+    """One row per bucket (numbered from first) that has any of the keys: 64-bit keys, distinct and sorted, and a value for each."""
+    order, there, cuts = by_bucket(keys, buckets)
+    rows = [(first + b, unit, keys[o := order[i:j]].tobytes(), encode(more[o])) for b, i, j in zip(there, cuts, cuts[1:], strict=False)]
     return pd.DataFrame(rows, columns=["bucket", "unit", "keys", "more"])
 
 
@@ -119,12 +136,9 @@ def answered(asked: DataFrame, decide: Callable[[np.ndarray, pd.DataFrame], np.n
 
 def unpack(keys: np.ndarray, answers: pd.DataFrame, buckets: int, decode: Callable[[bytes, int], np.ndarray], first: int = 0) -> np.ndarray:
     """A unit's answers in the order of its keys; a missing one is an error."""
-    at = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+    order, there, cuts = by_bucket(keys, buckets)
     found = dict(zip(answers["bucket"], answers["found"], strict=True))
     out = np.zeros(len(keys), np.int64)
-    for b in range(buckets):
-        if cuts[b + 1] > cuts[b]:
-            out[order[cuts[b] : cuts[b + 1]]] = decode(found[first + b], int(cuts[b + 1] - cuts[b]))
+    for b, i, j in zip(there, cuts, cuts[1:], strict=False):
+        out[order[i:j]] = decode(found[first + b], j - i)
     return out

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sparktrace.llm.common import named, numbered
+
 TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-[a-z]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -413,4 +415,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [t for i in range(0, len(batch), 64) for t in main_text(batch["html"].iloc[i : i + 64].tolist(), *shared.value)]
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return numbered(named(pages, "url", "html", name="page_id").mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

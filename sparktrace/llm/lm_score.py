@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import stored
-from sparktrace.llm.exchange import ANSWER, PACKED, UNIT, coded, dealt, decoded, hashes, mix, pack, sizes, unpack, vocabulary
+from sparktrace.llm.common import named, numbered, stored
+from sparktrace.llm.exchange import ANSWER, BUCKETS_EACH, PACKED, UNIT, UNITS_EACH, coded, dealt, decoded, hashes, mix, pack, sizes, spread, unpack, vocabulary
 from sparktrace.llm.simhash_dedup import words
 
 #: Steps per power of ten at which token probabilities are tallied for expectation-maximisation, and its rounds.
@@ -42,7 +42,7 @@ def tokens(rows: pd.DataFrame) -> dict:
     before[1:] = ids[:-1]
     before[0] = known[b""]  # after a text's last token, the end, comes the next text's first
     pair_keys, pairs = np.unique(mix(of[before] * np.uint64(0xD6E8FEB86659FD93) + of[ids]), return_inverse=True)
-    names = [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
+    names = [None if pd.isna(d) else d for d in rows["doc_id"]]
     held = np.array([held_out(d) for d in names], bool)
     return {"ids": ids, "before": before, "pairs": pairs, "words": of, "pair_keys": pair_keys, "doc": doc, "names": names, "held": held, "counts": counts}
 
@@ -118,10 +118,10 @@ def score(docs: DataFrame) -> DataFrame:
     each time and get equal scores; further columns are ignored; an empty table gives no rows. If no
     document is in training, every token has the uniform probability.
     """
-    docs = docs.select("doc_id", "text")
+    docs = named(docs, "text")
     _, units, buckets = sizes(docs)
-    sent = dealt(docs, units)
-    asked = sent.groupBy(UNIT).applyInPandas(lambda rows: ask(rows, buckets), PACKED)
+    sent = spread(dealt(docs, units), UNIT, units, UNITS_EACH)
+    asked = spread(sent.groupBy(UNIT).applyInPandas(lambda rows: ask(rows, buckets), PACKED), "bucket", 2 * buckets, BUCKETS_EACH)
     answers = stored(asked.groupBy("bucket").applyInPandas(lambda rows: total(rows, buckets), ANSWER))
     n, v = corpus_size(answers)
     answers = answers.where("unit >= 0")
@@ -141,7 +141,7 @@ def score(docs: DataFrame) -> DataFrame:
         code, count = np.unique((bucket * levels + level(p2) + 1) * levels + level(p1) + 1, return_counts=True)
         return pd.DataFrame({"bucket": code // levels // levels, "p2": code // levels % levels - 1, "p1": code % levels - 1, "n": count})
 
-    both = sent.groupBy(UNIT).cogroup(answers.groupBy("unit"))
+    both = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
     seen = both.applyInPandas(tally, "bucket int, p2 int, p1 int, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
     weights = fit(seen.toPandas(), v)  # at most MAX_BUCKETS * (levels of p2) * (levels of p1) rows
 
@@ -152,8 +152,8 @@ def score(docs: DataFrame) -> DataFrame:
         w = weights[bucket_of(context)]
         sums = lambda each: np.bincount(x["doc"], weights=each, minlength=len(x["names"]))
         return pd.DataFrame({
-            "doc_id": pd.array(x["names"], "Int64"), "held_out": x["held"], "n_tokens": x["counts"], "n_known": sums(word > 0).astype(np.int64), "train_tokens": n,
+            "doc_id": x["names"], "held_out": x["held"], "n_tokens": x["counts"], "n_known": sums(word > 0).astype(np.int64), "train_tokens": n,
             "base_score": sums(np.log10((word + 1) / (n + v + 1))), "score": sums(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)),
         })
 
-    return both.applyInPandas(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return numbered(both.applyInPandas(apply, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import tidy
-from sparktrace.llm.exchange import ODD, UNIT_CHARS, distinct, mix
+from sparktrace.llm.common import named, numbered, tidy
+from sparktrace.llm.exchange import ODD, UNIT_CHARS, distinct, fresh, mix
 
 DIMS, SIZE = 8192, 32
 #: Columns of the test matrix, singular vectors kept, and random directions for the rest.
@@ -225,7 +225,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: f
     have no passages; a null doc_id or item_id is returned as it is; repeated rows give repeated
     results; further columns are ignored; with an empty table on either side there are no rows.
     """
-    docs = docs.select("doc_id", "text")
+    return numbered(found_leaks(named(docs, "text"), benchmark, cosine, common, answer), "doc_id", "item_id")
+
+
+def found_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: float = 0.6, answer: float = 0.5) -> DataFrame:
+    """See leaks; doc_id is a string, and so is item_id in the result."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     few = docs.coalesce(max(1, -(-chars // UNIT_CHARS)))
     space, out, block, held = fit(few), None, [], 0
@@ -238,11 +242,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: f
             space, items = shared.value
             for ids, texts in batches_of(rows):
                 found = [(ids[d], items.names[i], *told) for d, i, told in candidates(texts, space, items, cosine, common, answer)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "common", "answer"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "common", "answer"])
 
-        return few.mapInPandas(run, "doc_id long, item_id long, cosine double, common double, answer double")
+        return few.mapInPandas(run, "doc_id string, item_id string, cosine double, common double, answer double")
 
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+    for row in named(benchmark, "text", name="item_id").toLocalIterator():
         if len(found := words(row["text"])) >= LEAST_WORDS:
             block.append((row["item_id"], found))
             held += -(-len(found) // SHIFT)
@@ -252,7 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, common: f
     if block:
         part = search(Items(block, space))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id string, item_id string, cosine double, common double, answer double")
 
 
 def runs_shared(texts: list[list[bytes]], first: np.ndarray, items: Items) -> np.ndarray:
@@ -297,5 +301,12 @@ def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: flo
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leaks finds; rows of a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that leaks finds, each judged by its own text; columns stay as they are.
+
+    Rows without words stay; rows of one doc_id or a null one are judged one by one, repeated rows
+    alike; an empty table on either side changes nothing.
+    """
+    key = fresh("leak_key", docs.columns)
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit("|"), "text"), 256))
+    found = found_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(docs.columns)

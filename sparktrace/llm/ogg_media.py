@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sparktrace.llm.common import named, numbered
+
 FRAME = 576
 RATE = 8000
 #: Serial numbers of the two logical streams: samples, and the description of the text.
@@ -131,7 +133,7 @@ def media_row(text: str | None) -> tuple:
 
 
 COLUMNS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
@@ -147,4 +149,4 @@ def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA + ", media binary" * keep_media)
+    return numbered(named(docs, "text").mapInPandas(run, SCHEMA + ", media binary" * keep_media))

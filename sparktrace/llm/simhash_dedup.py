@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import components, keeps, stored, tidy
+from sparktrace.llm.common import components, keeps, named, numbered, stored, tidy
 from sparktrace.llm.exchange import distinct, fresh
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
-#: A document's copies are gathered in this many parts per fingerprint, so no group grows without bound.
-PARTS = 64
+#: A fingerprint that a HOT-th of all rows have is hot: there are so many of them at most, whatever the input.
+HOT = 1000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _EIGHT = np.array([[byte >> bit & 1 for bit in range(8)] for byte in range(256)], np.float64)
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, n) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fps})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return numbered(named(docs, "text").mapInPandas(run, "doc_id string, fp long"))
 
 
 @lru_cache(1)
@@ -114,7 +114,11 @@ def anchors(fps: np.ndarray, t: int, home: bool) -> tuple[np.ndarray, np.ndarray
 
 
 def links(fps: DataFrame, t: int = 2) -> DataFrame:
-    """Pairs (fp, fp2), fp < fp2, of distinct fingerprints that differ in 1 to t bits."""
+    """Pairs (fp, fp2), fp < fp2, of distinct fingerprints that differ in 1 to t bits.
+
+    A fingerprint has no more neighbours than there are patterns of t bits (2,080 for t = 2), so the
+    pairs of a dense cluster grow with its distinct fingerprints, not with their square or the rows.
+    """
 
     def deal(home: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,14 +142,17 @@ def groups(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
     other; a null doc_id belongs to its text's component and never names one unless no other is in
     it; repeated rows stay; further columns are ignored; an empty table gives no rows.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
-    held = stored(fingerprints(docs, n).groupBy("fp", part).agg(F.collect_list(F.struct("doc_id")).alias("docs"), F.min("doc_id").alias("least")))
-    fps = stored(held.groupBy("fp").agg(F.min("least").alias("least")))
+    rows = stored(fingerprints(docs, n))
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     joined = components(links(fps, t).toDF("a", "b"))
-    named = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(least, "component").select("fp", "component_id"))
-    return held.join(named, "fp").select(F.explode("docs").alias("d"), "fp", "component_id").select("d.doc_id", "fp", "component_id")
+    whole = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = stored(whole.join(least, "component").select("fp", "component_id", "rows"))
+    # rows of hot fingerprints don't meet in one task: those few fingerprints go to the rows instead
+    least_rows = F.lit((fps.agg(F.sum("rows")).first()[0] or 0) / HOT)
+    hot = F.broadcast(whole.where(F.col("rows") > least_rows).select("fp", "component_id"))  # under HOT rows
+    rest = rows.join(hot, "fp", "left_anti").join(whole.where(F.col("rows") <= least_rows).select("fp", "component_id"), "fp")
+    return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
@@ -210,6 +217,12 @@ def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows[rows["key"].duplicated(keep=False)]
 
 
+def open_keys(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows at keys that sets of more than one component have."""
+    of = rows.groupby("key")["component"].agg(["min", "max"])
+    return rows[rows["key"].isin(of.index[of["min"] != of["max"]])]
+
+
 def proposed(rows: DataFrame, similarity: float, neighbours: bool) -> DataFrame:
     """Pairs (a, b) of different components among rows (key, fp, n, component) that share enough keys to reach the similarity.
 
@@ -223,7 +236,7 @@ def proposed(rows: DataFrame, similarity: float, neighbours: bool) -> DataFrame:
         rows = gathered(batches)
         if not len(rows):
             return
-        rows = rows.sort_values(["key", "n", "fp"])
+        rows = open_keys(rows).sort_values(["key", "n", "fp"])
         key, fp, n, of = (rows[c].to_numpy() for c in ("key", "fp", "n", "component"))
         others = least_common(n, similarity) - 1
         at, d = np.arange(len(key)), 0
@@ -289,7 +302,7 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             keys = [rare_first(x, often.value)[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
             yield pd.DataFrame({"nameless": batch["nameless"], "doc_id": batch["doc_id"], "row": batch["row"], "fp": fps, "n": size, "keys": keys})
 
-    told = stored(docs.select(nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", row.alias("row")).mapInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
+    told = stored(docs.select(nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text", row.alias("row")).mapInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
     sets = stored(told.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "row")).alias("least")))
     total = told.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
@@ -303,8 +316,8 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     grouped = shared.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rest = alike(proposed(grouped.select("key", "fp", "n", "component").repartition(parts, "key"), similarity, False), texts, n, similarity)
     joined = components(near.unionByName(rest))
-    named = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    groups_of = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
-    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("least")["row"].alias(key)).select(key)
+    kept = groups_of.groupBy(F.coalesce("component", "fp")).agg(F.min("least")["row"].alias(key)).select(key)
     first = docs.withColumn(key, row).dropDuplicates([key])
     return first.join(kept, key).select(docs.columns)

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import stored, tidy
-from sparktrace.llm.exchange import PACKED, UNIT, answered, dealt, fresh, hashes, mix, pack, sizes, unpack, vocabulary
+from sparktrace.llm.common import named, numbered, safe, stored, tidy
+from sparktrace.llm.exchange import BUCKETS_EACH, PACKED, UNIT, UNITS_EACH, answered, dealt, fresh, hashes, mix, pack, sizes, spread, unpack, vocabulary
 
 DEPTH, BLOCK, MAX_CELLS = 2, 1 << 22, 1 << 28
 #: Windows of a stretch: a partition's sketch is sent whenever it has counted so many.
@@ -119,7 +119,8 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
     doc_id counts as larger than any; of rows with one doc_id neither is smaller, so repeated rows
     lose alike; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed")
+    types = docs.drop("n_words", "n_removed").dtypes
+    docs = named(docs, "text") if digest else safe(docs.drop("n_words", "n_removed"))
     chars, units, buckets = sizes(docs)
     unit, rank = fresh(UNIT, docs.columns), fresh(ORDER, docs.columns)
     cells = BLOCK
@@ -188,10 +189,11 @@ def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> Da
         texts = [k.decode("utf-8", "surrogatepass") if isinstance(k, bytes) else k for k in kept]
         return rows.assign(text=texts, n_words=n_words, n_removed=n_removed)
 
-    sent = dealt(docs, units, unit).withColumn(rank, F.coalesce("doc_id", F.lit(NONE)))
-    answers = stored(answered(sent.groupBy(unit).applyInPandas(ask, PACKED), decide))
+    sent = spread(dealt(docs, units, unit).withColumn(rank, F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))), unit, units, UNITS_EACH)
+    answers = stored(answered(spread(sent.groupBy(unit).applyInPandas(ask, PACKED), "bucket", buckets, BUCKETS_EACH), decide))
+    both = sent.groupBy(unit).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
     if digest:
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    else:
-        schema = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    return sent.groupBy(unit).cogroup(answers.groupBy("unit")).applyInPandas(apply, schema)
+        schema = "doc_id string, n_words long, n_removed long, kept_sha256 string"
+        return numbered(both.applyInPandas(apply, schema))
+    out = both.applyInPandas(apply, docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema)
+    return out.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in types), "n_words", "n_removed")

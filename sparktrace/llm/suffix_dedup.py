@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import stored
-from sparktrace.llm.exchange import PACKED, UNIT, answered, dealt, mix, pack, sizes, unpack
+from sparktrace.llm.common import named, numbered, stored
+from sparktrace.llm.exchange import BUCKETS_EACH, PACKED, UNIT, UNITS_EACH, answered, dealt, mix, pack, sizes, spread, unpack
 
 LENGTH, GRAM = 400, 16
 CROWD, BLOCK = 64, 32
@@ -258,16 +258,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     and its text takes part; repeated rows repeat each other; further columns are ignored; an empty
     table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
+    docs = named(docs, "text")
     _, units, buckets = sizes(docs)
-    sent = dealt(docs, units)
+    sent = spread(dealt(docs, units), UNIT, units, UNITS_EACH)
     kind = lambda data, n: np.frombuffer(data, np.uint8)
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         return Unit(rows, length).ask(int(rows[UNIT].iloc[0]), buckets)
 
-    answers = stored(answered(sent.groupBy(UNIT).applyInPandas(ask, PACKED), decide))
+    answers = stored(answered(spread(sent.groupBy(UNIT).applyInPandas(ask, PACKED), "bucket", buckets, BUCKETS_EACH), decide))
 
     def laid_out(unit: Unit, told: np.ndarray) -> list[tuple[int, list[tuple[int, int, int, int, bytes]]]]:
         """Strings per bucket, in the order sent."""
@@ -286,8 +285,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
             out.append((bucket, int(rows[UNIT].iloc[0]), column(1, "<u8"), column(2, "<i4"), np.array([len(s[4]) for s in strings], "<i4").tobytes(), b"".join(s[4] for s in strings)))
         return pd.DataFrame(out, columns=["bucket", "unit", "keys", "first", "sizes", "data"])
 
-    strings = sent.groupBy(UNIT).cogroup(answers.groupBy("unit")).applyInPandas(send, STRINGS)
-    marks = stored(strings.groupBy("bucket").applyInPandas(lambda rows: construct(rows, length), "unit long, bucket int, found binary"))
+    strings = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit")).applyInPandas(send, STRINGS)
+    marks = stored(spread(strings, "bucket", buckets, BUCKETS_EACH).groupBy("bucket").applyInPandas(lambda rows: construct(rows, length), "unit long, bucket int, found binary"))
 
     def apply(rows: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
         unit = Unit(rows, length)
@@ -331,5 +330,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
         return result
 
     both = answers.withColumn("step", F.lit(1)).unionByName(marks.withColumn("step", F.lit(2)))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return sent.groupBy(UNIT).cogroup(both.groupBy("unit")).applyInPandas(apply, schema)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
+    return numbered(sent.groupBy(UNIT).cogroup(spread(both, "unit", units, UNITS_EACH).groupBy("unit")).applyInPandas(apply, schema))

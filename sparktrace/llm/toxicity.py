@@ -8,16 +8,18 @@ by log odds of words, then by the network's own choice.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import tidy
+from sparktrace.llm.common import named, numbered, tidy
 from sparktrace.llm.exchange import distinct, vocabulary
 from sparktrace.llm.lsa_decontaminate import batches_of, words
 
@@ -26,6 +28,10 @@ WORD_ROWS, CHAR_ROWS, WIDE, HIDDEN = 16384, 8192, 12, 12
 TRIGRAMS = 24
 #: Words whose inputs a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 80_000
+#: Logit of every text where labels of both classes aren't there to learn from.
+UNTAUGHT = -4.0
+#: Windows that are cut or looked up at once.
+PIECE = 20_000
 #: Labelled rows of each class that training takes at most, and the longest text among them; documents that make a word frequent; share of words hidden in training.
 SAMPLE, LONGEST = {1: 1000, 0: 2000}, 12_000
 FREQUENT, DROP = 4, 0.2
@@ -154,13 +160,16 @@ class Network:
 
 def cut(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of word numbers (from 1; 0 pads) of all texts in a row, and each window's text."""
-    base = np.cumsum(counts) - counts
-    text = np.concatenate([np.full(len(window_starts(n)), i) for i, n in enumerate(counts.tolist())]) if len(counts) else np.zeros(0, int)
-    start = np.concatenate([np.array(window_starts(n)) for n in counts.tolist()]) if len(counts) else np.zeros(0, int)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < counts[text][:, None]
-    padded = np.append(ids, 0)
-    return np.where(inside, padded[np.minimum(at + base[text][:, None], len(ids))] + 1, 0), text
+    many = np.maximum(-(-(counts - WINDOW + STEP) // STEP), 1)
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), many)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+    first, end = start + (np.cumsum(counts) - counts)[text], np.cumsum(counts)[text]
+    padded = np.append(ids, 0).astype(np.int32) + 1
+    out = np.empty((len(text), WINDOW), np.int32)
+    for i in range(0, len(out), PIECE):  # in pieces, so that no second array is as large as the result
+        at = first[i : i + PIECE, None] + np.arange(WINDOW)
+        out[i : i + PIECE] = np.where(at < end[i : i + PIECE, None], padded[np.minimum(at, len(ids))], 0)
+    return out, text
 
 
 def train(texts: list[list[bytes]], labels: np.ndarray, prior: float | None = None, epochs: int = 6, least_steps: int = 150, seed: int = 11) -> Network:
@@ -169,7 +178,8 @@ def train(texts: list[list[bytes]], labels: np.ndarray, prior: float | None = No
     Words in fewer than FREQUENT documents have no embedding of their own, only their characters'.
     """
     net = Network(seed)
-    if not len(labels):
+    if len(set(labels.tolist())) < 2:
+        net.scale, net.shift = 0.0, UNTAUGHT
         return net
     ids, counts, known = vocabulary(texts)
     windows, text = cut(ids, counts)
@@ -183,7 +193,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, prior: float | None = No
     bad = np.bincount(pairs % len(found), labels[pairs // len(found)], len(found)) if len(pairs) else np.zeros(0)
     all_ = np.bincount(pairs % len(found), minlength=len(found)) if len(pairs) else np.zeros(0)
     odds = np.concatenate([[0.0], np.log((bad + share) / (all_ - bad + 1 - share)) - np.log(share / (1 - share + 1e-9) + 1e-9)])
-    value = odds[windows].max(1) if len(found) else np.zeros(len(windows))
+    value = np.concatenate([odds[windows[i : i + PIECE]].max(1) for i in range(0, len(windows), PIECE)])
     at = [rows_of(w) for w in found]
     word_rows = np.array([0] + [w for w, _ in at])
     sizes = np.array([len(g) for _, g in at]) if at else np.zeros(0, int)
@@ -297,21 +307,37 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """Train on at most SAMPLE labelled documents of each class that are not held out, chosen by a hash of the id."""
+    """Train on at most SAMPLE labelled documents of each class that are not held out and no longer than LONGEST, chosen by a hash of the id.
+
+    One task of an executor trains; only the network comes to the driver.
+    """
     rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    some = [rows.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
+    short = docs.where(F.length("text") <= LONGEST).select("doc_id").distinct().join(rows, "doc_id")
+    some = [short.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # as many rows as SAMPLE has in all
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") <= LONGEST).orderBy("doc_id", "text").toPandas()
+    found = named(docs.join(chosen, "doc_id").where(F.length("text") <= LONGEST).select("doc_id", F.col("text").alias("t"), "toxic"), F.col("t").alias("text"), "toxic")
     prior = rows.agg(F.avg("toxic")).first()[0]
-    return train([words(t) for t in found["text"]], found["toxic"].to_numpy(float), prior)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
+        held = [b for b in batches if len(b)]
+        texts, marks = [], np.zeros(0)
+        if held:
+            rows = pd.concat(held, ignore_index=True).sort_values(["doc_id", "text"])
+            texts, marks = [words(t) for t in rows["text"]], rows["toxic"].to_numpy(float)
+        held.clear()
+        yield pd.DataFrame({"network": [pickle.dumps(train(texts, marks, prior))]})
+
+    row = found.repartition(1).mapInPandas(fit, "network binary").first()
+    return pickle.loads(row["network"]) if row else train([], np.zeros(0))  # without rows no task runs
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every document.
 
     A null or empty text is a window of padding; a null doc_id stays null, is never learnt from and
-    counts as text "None"; labels other than 0 and 1 are ignored; without labels, scores say
-    nothing; repeated rows get equal scores; further columns are ignored; an empty table gives no rows.
+    counts as text "None"; labels other than 0 and 1 are ignored; without labels of both classes all
+    scores are equal and none is predicted toxic; equal texts get equal scores; repeated rows get equal scores; further columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
@@ -320,22 +346,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(shared.value)
         for ids, texts in batches_of(batches):
             scores = scorer.scores(texts).astype(float)
-            names = [None if pd.isna(d) else int(d) for d in ids]
-            yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "held_out": [held_out(d) for d in names], "score": scores, "predicted": (scores >= 0.5).astype(int)})
+            names = [None if pd.isna(d) else d for d in ids]
+            yield pd.DataFrame({"doc_id": names, "held_out": [held_out(d) for d in names], "score": scores, "predicted": (scores >= 0.5).astype(int)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return numbered(named(docs, "text").mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose text is predicted toxic; columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = [scorer.scores(texts) for _, texts in batches_of(iter([batch[["doc_id", "text"]]]))]
+            texts = batch.column(batch.schema.names.index("text")).to_pandas()
+            scores = [scorer.scores(some) for _, some in batches_of(iter([pd.DataFrame({"doc_id": 0, "text": texts})]))]
             if scores:
-                yield batch[np.concatenate(scores) < 0.5]
+                yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
