@@ -44,17 +44,19 @@ def summary(state_column: str, value_column: str) -> list[Column]:
 
 
 def cpu_population(prefix: str = "") -> list[Column]:
-    """Wall time, coverage and residual on the calls whose CPU time is valid."""
+    """Wall time, coverage, and the time of the whole group that neither CPU nor DB explains, on the calls whose CPU time is valid."""
     cpu = F.col("cpu_us")
     on = lambda c: F.sum(F.when(cpu.isNotNull(), c))
-    rest = F.col("duration_us") - cpu - F.coalesce("db_duration_us", F.lit(0))
-    wall = on(F.col("duration_us"))
+    wall = F.coalesce(on(F.col("duration_us")), F.lit(0))
+    rest = wall - F.sum("cpu_us") - on(F.coalesce("db_duration_us", F.lit(0)))
+    floor = F.when(F.count("cpu_us") > 0, F.greatest(rest, F.lit(0)))
     return [
         F.count("cpu_us").alias(f"{prefix}cpu_available_count"),
         wall.alias(f"{prefix}cpu_wall_us"),
         (100.0 * F.count("cpu_us") / F.count("*")).alias(f"{prefix}cpu_coverage_percent"),
         F.when(F.sum("duration_us") > 0, 100.0 * wall / F.sum("duration_us")).alias(f"{prefix}cpu_wall_coverage_percent"),
         F.when(wall > 0, 100.0 * F.sum("cpu_us") / wall).alias(f"{prefix}cpu_percent_of_wall"),
-        on(F.greatest(rest, F.lit(0))).alias(f"{prefix}residual_us"),
-        F.count_if(cpu.isNotNull() & (rest < 0)).alias(f"{prefix}overflow_count"),
+        floor.alias(f"{prefix}unattributed_us_floor"),
+        F.when(wall > 0, 100.0 * floor / wall).alias(f"{prefix}unattributed_percent_floor"),
+        F.when(F.count("cpu_us") > 0, F.greatest(-rest, F.lit(0))).alias(f"{prefix}attribution_overflow_us"),
     ]

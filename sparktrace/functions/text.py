@@ -25,6 +25,8 @@ CATEGORIES = {
     "postgresql_reported": ("postgres", "sqlstate", "dbpostgrs"),
 }
 OTHER = "other_application_or_platform_error"
+#: Rules of error signatures and incidents, as their ids name them.
+ERROR_VERSION, INCIDENT_VERSION = "full_message/v2", "same_call_exact_payload/v1"
 #: Fixed value: contexts of background work.
 BACKGROUND = "(?i)Регламентн|Фонов|Background|ServerJobExecutor|ScheduledJob|ВыполнитьФоновоеЗадание"
 UNKNOWN_USERS = ("(not specified)", "(unknown)", "")
@@ -54,7 +56,7 @@ def user(raw: Column | str) -> Column:
 
 
 def normalize_error(x: Column | str) -> Column:
-    """Identifiers, dates and numbers of two digits or more replaced, in that order."""
+    """Identifiers, dates and numbers of two digits or more replaced, in that order; the patterns are fixed values."""
     out = clean(x)
     out = F.regexp_replace(out, r"(?U)\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", "<uuid>")
     out = F.regexp_replace(out, r"(?U)\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\b", "<date>")
@@ -74,13 +76,22 @@ def classify_error(x: Column | str) -> Column:
 
 def strip_wrappers(x: Column | str) -> Column:
     """Line ends made one kind, outer white space and leading wrappers removed, repeatedly."""
-    text = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\r\n?", "\n"))
-    each = "|".join(r"\Q" + w.strip() + r"\E\s*" for w in WRAPPERS)
-    return F.regexp_replace(F.regexp_replace(text, r"^\s*(?:" + each + ")+", ""), r"^\s+|\s+\z", "")
+    text = stripped(F.regexp_replace(F.coalesce(x, F.lit("")), r"\r\n?", "\n"))
+    each = "|".join(r"\Q" + w + r"\E(?U:\s*)" for w in WRAPPERS)
+    return stripped(F.regexp_replace(text, "^(?:" + each + ")+", ""))
+
+
+def stripped(x: Column | str) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+
+
+def blank(x: Column | str) -> Column:
+    return stripped(F.coalesce(x, F.lit(""))) == ""
 
 
 def message_state(x: Column | str) -> Column:
-    return F.when(F.isnull(x), "missing").when(F.trim(x) == "", "empty").otherwise("present")
+    return F.when(F.isnull(x), "missing").when(stripped(x) == "", "empty").otherwise("present")
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -92,8 +103,17 @@ def canonical_id(*parts: Column | str) -> Column:
     return F.sha2(F.to_json(F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])), 256)
 
 
-def sql_fingerprint(normalized: Column | str, version: str = "2.0") -> Column:
-    return F.sha2(F.concat(F.lit("1c-tj-sql"), F.char(F.lit(0)), F.lit(version), F.char(F.lit(0)), normalized), 256)
+#: Versions of the normal form, and what the digest of the newer one begins with.
+SQL_VERSION, LEGACY_SQL_VERSION, SQL_SALT = "2.0", "1.0-regex", "1c-tj-sql"
+
+
+def sql_fingerprint(normalized: Column | str, version: str = SQL_VERSION) -> Column:
+    """Digest of a statement's normal form; the legacy version is of the text alone."""
+    if version == LEGACY_SQL_VERSION:
+        return F.sha2(normalized, 256)
+    if version != SQL_VERSION:
+        raise ValueError(f"unknown version of the SQL normal form: {version}")
+    return F.sha2(F.concat(F.lit(SQL_SALT), F.char(F.lit(0)), F.lit(version), F.char(F.lit(0)), normalized), 256)
 
 
 def key_relation(event_key: str, call_key: str, label: str = "event_missing") -> Column:

@@ -1,33 +1,42 @@
 """Owner decisions: which call an event belongs to, with the evidence.
 
-The join has equality on the scope and on a time bin: calls are listed under each bin that they
-touch and an event has one bin, so each pair meets once and a busy scope is spread over its bins.
+The join has equality on the scope, on a level and on a time bin. A call's level gives bins no
+narrower than the call and under four times as wide (or LEAST wide), so it is listed under two bins at most;
+an event looks into its bin of every level that calls have. Pairs that meet in vain are as many as
+calls of the same length nearby, and a busy scope is spread over its bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.functions.text import key_relation
 
 SCOPE = ["dataset_id", "user", "process", "thread"]
-#: Width of a time bin; calls much longer than this are listed many times, much shorter ones make bins crowded.
-BIN_US = 24 * 3600 * 1_000_000
+#: Power of two of the narrowest bins' width (about a second), and of the widest.
+LEAST, MOST = 20, 60
 
 
-def candidates(events: DataFrame, calls: DataFrame, bin_us: int = BIN_US) -> DataFrame:
+def level_of(start: str, end: str, least: int = LEAST) -> Column:
+    """Power of two of the width of a call's bins: every second one from least on."""
+    long = F.greatest(F.col(end) - F.col(start), F.lit(1)).cast("double")
+    return F.least(F.lit(MOST), F.greatest(F.lit(least), least + 2 * F.ceil((F.log2(long) - least) / 2))).cast("int")
+
+
+def candidates(events: DataFrame, calls: DataFrame, least: int = LEAST) -> DataFrame:
     """Pairs of an event and a call of its scope with call.start <= event.end <= call.end."""
+    timed = calls.where("start_us is not null").withColumn("level", level_of("start_us", "end_us", least))
+    levels = F.broadcast(timed.agg(F.sort_array(F.collect_set("level")).alias("levels")))  # one row of (MOST - least) / 2 + 1 numbers at most
     each = events.where("end_us is not null and coalesce(thread, '') <> ''").select(
         *SCOPE, "event_id", "end_us", F.col("start_us").alias("event_start_us"), F.col("session").alias("event_session"), F.col("connect_id").alias("event_connect"),
-        F.floor(F.col("end_us") / bin_us).alias("bin"),
-    )
-    own = calls.where("start_us is not null").select(
+    ).join(levels).withColumn("level", F.explode("levels")).withColumn("bin", F.expr("shiftright(end_us, level)")).drop("levels")
+    own = timed.select(
         *SCOPE, F.col("event_id").alias("call_id"), F.col("start_us").alias("call_start"), F.col("end_us").alias("call_end"),
         F.col("duration_us").alias("call_duration"), F.col("session").alias("call_session"), F.col("connect_id").alias("call_connect"),
-        F.explode(F.sequence(F.floor(F.col("start_us") / bin_us), F.floor(F.col("end_us") / bin_us))).alias("bin"),
+        "level", F.explode(F.expr("sequence(shiftright(start_us, level), shiftright(end_us, level))")).alias("bin"),
     )
-    pairs = each.join(own, [*SCOPE, "bin"]).where("call_start <= end_us and end_us <= call_end")
+    pairs = each.join(own, [*SCOPE, "level", "bin"]).where("call_start <= end_us and end_us <= call_end")
     return pairs.withColumn("session_match", F.expr("coalesce(event_session, '') <> '' and event_session <=> call_session"))
 
 
@@ -77,7 +86,7 @@ def evidence(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def link(events: DataFrame, bin_us: int = BIN_US) -> DataFrame:
+def link(events: DataFrame, least: int = LEAST) -> DataFrame:
     """Decisions of all events that aren't calls, as columns beside the events."""
     calls, others = events.where("event_type = 'CALL'"), events.where("event_type <> 'CALL'")
-    return others.join(decide(others, candidates(others, calls, bin_us)), "event_id")
+    return others.join(decide(others, candidates(others, calls, least)), "event_id")

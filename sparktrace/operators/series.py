@@ -30,7 +30,7 @@ def metrics() -> list[Column]:
         F.avg("memory_peak").alias("memory_peak_avg"), F.median("memory_peak").alias("memory_peak_median"), rank_percentile("memory_peak", 0.95).alias("memory_peak_p95"),
         rank_percentile("memory_peak", 0.99).alias("memory_peak_p99"), F.max("memory_peak").alias("memory_peak_max"),
     ]
-    return out + counters.cpu_population()[:-2]  # without the residual
+    return out + counters.cpu_population()[:-3]  # without what is left over
 
 
 METRICS = (

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw counter column, and the least value that counts as valid.
-COUNTERS = {"cpu_us": 0, "memory_peak": -(2**63), "in_bytes": 0, "out_bytes": 0, "rows_affected": 0}
+COUNTERS = {"cpu_us": 0, "memory": -(2**63), "memory_peak": -(2**63), "in_bytes": 0, "out_bytes": 0, "rows_affected": 0}
+
+
+#: Statements and messages by the number in props.
+STATEMENTS = """when k % 6 = 0 then concat('SELECT a FROM t', k % 7, ' WHERE id = ', k)
+    when k % 6 = 1 then concat('select x.b, count(*) from "T One" x left join t', k % 7, ' y on x.id = y.id where y.n = ''v', k, ''' group by 1 order by 2 desc limit 5')
+    when k % 6 = 2 then concat('WITH w AS (SELECT DISTINCT c FROM pg_temp.tt', k % 3, ') SELECT CASE WHEN c > ', k, '.5 THEN 1 ELSE 2 END FROM w UNION ALL SELECT cast(3 as numeric(10, 2))')
+    when k % 6 = 3 then concat('SELECT ''unterminated ', k % 4) when k % 6 = 5 then concat('/* c */ SELECT TOP 3 a FROM s.t', k % 7, ', t_b -- note')"""
+MESSAGES = """when k % 8 = 0 then null when k % 8 = 1 then ' \\n' when k % 8 = 2 then concat('Ошибка выполнения запроса:\\r\\n\\nERROR: canceling statement due to user request ', k)
+    when k % 8 = 3 then concat('HTTP request 3f2504e0-4f89-11d3-9a0c-0305e82c3301 failed with ', k) when k % 8 = 4 then concat('permission denied for relation t', k % 5)
+    else concat('Lock 2024-01-0', 1 + k % 9, ' on ', k, ' of table ', k % 5)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as trace records: views and purchases are calls, clicks DB events, errors exceptions, signups locks.
+    """events as trace records: views and purchases are calls, clicks DB events and DBMS-layer ones, errors errors of both kinds, signups locks of all three.
 
     A value counts ten minutes, a user is a scope, weeks are measurements; the number in props
-    decides session, connection, operation and counters, with all counter states among them.
+    decides session, connection, operation, context, statement, message and counters, with all counter
+    states, wrapped, missing and empty messages, blank contexts and a statement that can't be lexed among them.
     """
     e = table(spark, sf_dir, "events")
     e = e.withColumn("k", F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int"))
-    e = e.withColumn("event_type", F.expr("case event_type when 'click' then 'DBPOSTGRS' when 'error' then 'EXCP' when 'signup' then 'TLOCK' else 'CALL' end"))
+    kind = """case event_type when 'click' then if(event_id % 5 = 0, 'SDBL', 'DBPOSTGRS') when 'error' then if(event_id % 4 = 0, 'QERR', 'EXCP')
+        when 'signup' then element_at(array('TLOCK', 'TTIMEOUT', 'TDEADLOCK'), cast(1 + event_id % 3 as int)) else 'CALL' end"""
+    e = e.withColumn("event_type", F.expr(kind))
     e = e.withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
     return e.selectExpr(
         "event_id",
@@ -37,16 +50,18 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(event_type <> 'CALL' and event_id % 50 = 7, '', cast(user_id % 8 as string)) thread",
         "if(k % 3 = 0, null, cast(k % 3 as string)) session",
         "if(k % 4 = 0, null, cast(k % 4 as string)) connect_id",
+        "if(k % 6 = 0, null, if(k % 7 = 0, ' \\n\\t', concat('  op', k % 5, '\\n line ', k % 3))) context",
         "concat('op', k % 5) signature",
         "concat('m', 1 + (day(ts) - 1) div 7) measurement_id",
         "k",
         "case k % 10 when 0 then null when 1 then '' when 2 then 'bad' when 3 then '99999999999999999999' else cast(k * 100000 as string) end cpu_us_raw",
+        "if(k % 11 = 0, ' ', cast((k - 20) * 512 as string)) memory_raw",
         "if(k % 6 = 0, null, cast((k - 50) * 1024 as string)) memory_peak_raw",
         "if(k % 9 = 0, '-5', cast(k * 10 as string)) in_bytes_raw",
         "if(k % 8 = 0, null, cast(k * 131072 as string)) out_bytes_raw",
         "concat('+', k) rows_affected_raw",
-        "concat('SELECT a FROM t', k % 7, ' WHERE id = ', k) sql_text",
-        "concat('Lock 2024-01-0', 1 + k % 9, ' on ', k, ' of table ', k % 5) message",
+        f"case when event_type <> 'DBPOSTGRS' then null {STATEMENTS} end sql_text",
+        f"case when event_type not in ('EXCP', 'QERR') then null {MESSAGES} end message",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from sparktrace.operators.apdex import SCORES
 from sparktrace.operators.chatty import PROFILE
 from sparktrace.operators.series import METRICS
-from sparktrace.plans.oracle import BASE, CPU, LIST
+from sparktrace.plans.oracle import BASE, CPU, FLAGS, LIST, OPS
 
 PCT = "100.0::double * {0} / nullif({1}, 0)"
 UNKNOWN = "('(not specified)', '(unknown)', '')"
@@ -152,10 +152,11 @@ VERIFY = ["more_than_one_selected", "selected_is_not_the_parent", "parent_is_no_
 
 ORACLE = {
     "order_chatty": ORDERS + f"""select signature, "user", measurement_id, threshold_db_events, count(*) count, sum(db_count) > threshold_db_events * count(*) group_mean_above_threshold, {PROFILE_SQL.replace(FAST, "duration_us <= 10000000")} from thr group by 1, 2, 3, 4""",
-    "sql_dictionary": BASE + """select distinct sql_text, sql_pattern normalized_sql, 'lexical' sql_normalization_status, 't' || (k % 7) tables, false has_join, false has_limit_or_top, sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256 from e where event_type = 'DBPOSTGRS'""",
+    "sql_dictionary": BASE + f""", s as (select distinct sql_text, sql_pattern, array_to_string(sql_tables, ' | ') tables, k % 6 shape from e where sql_text is not null)
+      select sql_text, sql_pattern normalized_sql, case when shape = 3 then 'raw_fallback' else 'normalized' end sql_normalization_status, tables, {FLAGS}, sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256, sha256(sql_pattern) legacy_fingerprint_sha256 from s""",
     "db_observations": BASE + """select event_id, dataset_id, measurement_id, "user", duration_us, status, reason_code, parent_call_id, sql_pattern normalized_sql, sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256 from dec where event_type = 'DBPOSTGRS'""",
-    "report_overview": BASE + f"""select measurement_id, "user", signature, cpu_percent_of_wall, duration_us, row_number() over (partition by measurement_id order by cpu_percent_of_wall desc nulls last, duration_us desc nulls last, signature, "user") rank
-      from (select measurement_id, "user", signature, cast(sum(duration_us) as bigint) duration_us, {CPU.split("cpu_wall_coverage_percent, ")[1].split("cpu_percent_of_wall")[0]} cpu_percent_of_wall from obs group by 1, 2, 3) qualify rank <= 5""",
+    "report_overview": BASE + f""", {OPS} select measurement_id, "user", signature, cpu_percent_of_wall, duration_us, row_number() over (partition by measurement_id order by cpu_percent_of_wall desc nulls last, duration_us desc nulls last, signature, "user") rank
+      from (select measurement_id, "user", signature, duration_us, cpu_percent_of_wall from ops) qualify rank <= 5""",
     "report_trajectories": BASE + HIST + """, b as (select signature, "user" from hist group by 1, 2 order by max(duration_us_sum) desc nulls last, 1, 2 limit 10) select signature, "user", measurement_id, count, duration_us_sum from hist semi join b using (signature, "user")""",
     "verify_links": f"""select unnest({VERIFY!r}) "check", 0 violations""",
     "data_quality": BASE + QUALITY + f""", q as (select measurement_id, count(*) call_count, count(distinct "user") user_count, count(distinct signature) operation_signature_count, count(distinct row(signature, "user")) operation_user_count, min(start_us) observed_call_start,

@@ -33,10 +33,13 @@ class Trace:
         self.calls = self.events.where("event_type = 'CALL'")
         self.others = self.events.where("event_type <> 'CALL'")
 
+    @property
+    def texts(self) -> DataFrame:
+        return sqlnorm.dictionary(self.others)
+
     @property
     def linked(self) -> DataFrame:
-        pattern = F.regexp_replace(F.lower(F.col("sql_text")), r"\b\d+\b", "<number>")
-        return linking.link(self.events).withColumn("sql_pattern", pattern)
+        return linking.link(self.events).join(self.texts.select("sql_text", F.col("normalized_sql").alias("sql_pattern")), "sql_text", "left")
 
     @property
     def observed(self) -> DataFrame:
@@ -66,6 +69,13 @@ def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.agg(*A.metric_group(), F.min("duration_us").alias("min_us"), F.round(F.try_divide(F.stddev_pop("duration_us"), F.avg("duration_us")), 6).alias("cv"))
 
 
+@query
+def order_statistics_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few large groups: line items by return flag and status, order statistics without a group in one task."""
+    items = table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return A.spread_group(items, ["l_returnflag", "l_linestatus"], "cents")
+
+
 @query
 def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Trace(spark, sf_dir).events.groupBy("measurement_id", "event_type").agg(*A.metric_group()).select("measurement_id", "event_type", "count", "over_1s", "over_5s", "over_10s", "over_30s")
@@ -103,7 +113,7 @@ def linkage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def call_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Trace(spark, sf_dir).observed.select("call_id", "measurement_id", "user", "signature", "duration_us", "cpu_us", "out_bytes", "db_count", "db_duration_us", "lock_count", "lock_duration_us", "error_count")
+    return Trace(spark, sf_dir).observed.select("call_id", "measurement_id", "user", "signature", "duration_us", "cpu_us", "out_bytes", *A.OWNED, "max_db_us", "db_rows_known", "db_rows_max")
 
 
 @query
@@ -111,6 +121,16 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.operations(Trace(spark, sf_dir).observed).drop("priority")
 
 
+@query
+def operations_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.operations(Trace(spark, sf_dir).observed, by_dataset=True).drop("priority")
+
+
+@query
+def operation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.counter_quality(Trace(spark, sf_dir).calls, ("measurement_id", "user", "signature"))
+
+
 @query
 def operation_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.operations(Trace(spark, sf_dir).observed).select("measurement_id", "user", "signature", "priority")
@@ -149,7 +169,8 @@ def top_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sql_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.sql_groups(Trace(spark, sf_dir).linked)
+    t = Trace(spark, sf_dir)
+    return A.sql_groups(t.linked, t.texts)
 
 
 @query
@@ -159,7 +180,7 @@ def lock_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def error_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Trace(spark, sf_dir).errors.select("event_id", "status", "error_signature", "category", "message_state", "payload", "incident_reason", "signature_id", "connect_relation")
+    return Trace(spark, sf_dir).errors.select("event_id", "status", "error_signature", "category", "message_state", "payload", "incident_reason", "incident_id", "signature_id", "connect_relation")
 
 
 @query
@@ -215,7 +236,7 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sql_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = Trace(spark, sf_dir).linked.where("event_type = 'DBPOSTGRS'")
+    linked = Trace(spark, sf_dir).linked.where("event_type = 'DBPOSTGRS' and sql_pattern is not null")
     return linked.groupBy(text.sql_fingerprint(F.col("sql_pattern")).alias("sql_fingerprint_sha256")).agg(F.count("*").alias("count"), F.min("sql_pattern").alias("sql_pattern"))
 
 
@@ -324,7 +345,7 @@ def order_chatty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sql_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = sqlnorm.dictionary(adapters.trace_events(spark, sf_dir).where("event_type = 'DBPOSTGRS'"))
-    return texts.select("sql_text", "normalized_sql", "sql_normalization_status", F.array_join("tables", " | ").alias("tables"), "has_join", "has_limit_or_top", "sql_fingerprint_sha256")
+    return texts.select("sql_text", "normalized_sql", "sql_normalization_status", F.array_join("tables", " | ").alias("tables"), *A.FEATURES, "sql_fingerprint_sha256", text.sql_fingerprint("normalized_sql", text.LEGACY_SQL_VERSION).alias("legacy_fingerprint_sha256"))
 
 
 @query
@@ -332,7 +353,7 @@ def db_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DB events with statement dictionary, decision and owner: the star view."""
     linked = Trace(spark, sf_dir).linked.where("event_type = 'DBPOSTGRS'")
     texts = sqlnorm.dictionary(linked).select("sql_text", "sql_fingerprint_sha256", "normalized_sql")
-    return linked.join(texts, "sql_text", "left").select("event_id", "dataset_id", "measurement_id", "user", "duration_us", "status", "reason_code", "parent_call_id", "normalized_sql", "sql_fingerprint_sha256")
+    return linked.drop("sql_pattern").join(texts, "sql_text", "left").select("event_id", "dataset_id", "measurement_id", "user", "duration_us", "status", "reason_code", "parent_call_id", "normalized_sql", "sql_fingerprint_sha256")
 
 
 @query

@@ -21,8 +21,8 @@ def event(i, end, session="A", **over):
     return tuple((base | over).values())
 
 
-def decisions(spark, rows, bin_us=5):
-    return {r.event_id: r for r in linking.link(frame(spark, rows), bin_us).select("event_id", "parent_call_id", "status", "reason_code", "candidate_count", "eligible_count", "fallback_applied").collect()}
+def decisions(spark, rows, least=2):
+    return {r.event_id: r for r in linking.link(frame(spark, rows), least).select("event_id", "parent_call_id", "status", "reason_code", "candidate_count", "eligible_count", "fallback_applied").collect()}
 
 
 def test_boundaries_and_nesting(spark):
@@ -48,7 +48,7 @@ def test_against_naive(spark, seed):
     pick = lambda: dict(user=rng.choice("UV"), process=rng.choice(["p", ""]), thread=rng.choice(["7", "8", "", None]))
     calls = [call(i, s := rng.randint(0, 60), s + rng.randint(0, 30), rng.choice(["A", "B", "", " ", None]), **pick()) for i in range(1, 46)]
     events = [event(100 + i, rng.choice([None, rng.randint(0, 90)]), rng.choice(["A", "B", "", " ", None]), usr_raw=rng.choice(["U", "", None]), **pick()) for i in range(120)]
-    d = decisions(spark, calls + events, bin_us=rng.choice([3, 20, 1000]))
+    d = decisions(spark, calls + events, least=rng.choice([0, 3, 20]))
     for e in events:
         found = [c for c in calls if e[3] is not None and e[9] and (c[5], c[6], c[8], c[9]) == (e[5], e[6], e[8], e[9]) and c[2] <= e[3] <= c[3]]
         match = [c for c in found if e[10] and c[10] == e[10]]
@@ -59,3 +59,21 @@ def test_against_naive(spark, seed):
         fallback = bool(found) and (not match or not (e[7] or "").strip() or not e[8])
         assert got.fallback_applied == fallback
         assert got.status == ("unlinked" if not found else "ambiguous" if len(match or found) > 1 else "linked_by_rule" if fallback else "linked_unique")
+
+
+def test_short_calls_of_a_busy_scope_meet_few_events(spark):
+    """Calls of a millisecond, one after another, beside a few of hours: pairs tried stay near the pairs found."""
+    calls = [call(i, 1000 * i, 1000 * i + 900) for i in range(4000)] + [call(9000 + i, 0, 4_000_000) for i in range(3)]
+    events = [event(10_000 + i, 1000 * i + 500) for i in range(4000)]
+    frames = [frame(spark, rows) for rows in (events, calls)]
+    found = linking.candidates(*frames, least=10)
+    assert found.count() == 16_000
+    timed = frames[1].withColumn("level", linking.level_of("start_us", "end_us", 10))
+    tried = timed.selectExpr("level", "explode(sequence(shiftright(start_us, level), shiftright(end_us, level))) bin").crossJoin(frames[0].select("end_us")).where("bin = shiftright(end_us, level)")
+    assert tried.count() < 4 * 16_000
+
+
+def test_levels(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1024), (0, 1025), (-5, 4096 * 4), (7, 2**50 + 1)], "s long, e long")
+    got = [r.w for r in rows.select(linking.level_of("s", "e", 10).alias("w")).collect()]
+    assert got == [10, 10, 12, 16, 50] and all(2**w >= e - s for w, (s, e) in zip(got, [(0, 0), (0, 1024), (0, 1025), (-5, 4096 * 4), (7, 2**50)], strict=True))
