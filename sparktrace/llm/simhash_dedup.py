@@ -15,11 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import components, keeps, named, numbered, stored, tidy
-from sparktrace.llm.exchange import distinct, fresh
+from sparktrace.llm.exchange import BUCKETS_EACH, PACKED, UNIT, UNITS_EACH, answered, coded, dealt, decoded, distinct, fresh, pack, sizes, spread, unpack
 
 HALF, RADIUS = 23, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -162,10 +162,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
 
 # Near copies by exact Jaccard similarity, for similarities at which 64 bits differ in more places than a radius can cover.
 
-#: Characters of the sample that tells frequent shingles, how often those are there at least, and how many are told at most. They only order the shingles; results don't depend on them.
-SAMPLE_CHARS, FREQUENT, TOLD = 16_000_000, 3, 200_000
-#: Keys in a task of the join, on average at most.
-TASK_KEYS = 2_000_000
+#: Rounds in which a key's sets are compared with one of them only, before what is left is compared pair by pair.
+STARS = 2
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -179,79 +177,49 @@ def least_common(size: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.ceil(similarity * size - 1e-9).astype(np.int64)
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, texts that have them) of shingles that are frequent in a sample of bounded size."""
+def rarities(sent: DataFrame, unit: str, units: int, buckets: int, n: int) -> DataFrame:
+    """Answers to each unit: in how many rows each of its distinct shingles is, over all rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(t, n) for t in batch["text"]]
-            yield pd.DataFrame({"h": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
-
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-chars // SAMPLE_CHARS) or 1)) == 0)
-    rows = part.select("text").mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TOLD).toPandas()
-    keys, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def rare_first(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sorted hashes in one order for all texts: those not known as frequent, then by how frequent they are."""
-    keys, counts = often
-    if not len(keys):
-        return found
-    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-    return found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        tidy()
+        keys, counts = np.unique(np.concatenate([shingle_set(t, n) for t in rows["text"]]), return_counts=True)
+        return pack(int(rows[unit].iloc[0]), keys, counts, buckets, coded)
 
+    def add(keys: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        counts = np.concatenate([decoded(more, len(k) // 8) for more, k in zip(rows["more"], rows["keys"], strict=True)])
+        distinct_keys, at = np.unique(keys, return_inverse=True)
+        return np.minimum(np.bincount(at, counts, len(distinct_keys)), (1 << 32) - 1).astype(np.int64)[at]
 
-def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    tidy("simhash")
-    held = [b for b in batches if len(b)]
-    return pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    return answered(spread(sent.groupBy(unit).applyInPandas(ask, PACKED), "bucket", buckets, BUCKETS_EACH), add, coded)
 
 
-def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows whose key another row of the task has too."""
-    rows = gathered(batches)
-    if len(rows):
-        yield rows[rows["key"].duplicated(keep=False)]
+def fits(one: str, other: str, similarity: float) -> Column:
+    """Whether two sets of these sizes can have the similarity."""
+    return F.least(one, other) >= F.ceil(similarity * F.greatest(one, other) - 1e-9)
 
 
-def open_keys(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows at keys that sets of more than one component have."""
-    of = rows.groupby("key")["component"].agg(["min", "max"])
-    return rows[rows["key"].isin(of.index[of["min"] != of["max"]])]
+def starred(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of each set with one set of each of its keys, the same for all sets of a key and for most keys of like sets; rows are (key, fp, n, component)."""
+    least = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("order"), "fp", "n", "component")).alias("rep"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    pairs = rows.join(least.select("key", "rep"), "key").where(F.col("component") != F.col("rep.component")).where(fits("n", "rep.n", similarity))
+    return pairs.select(F.least("fp", "rep.fp").alias("a"), F.greatest("fp", "rep.fp").alias("b")).distinct()
 
 
-def proposed(rows: DataFrame, similarity: float, neighbours: bool) -> DataFrame:
-    """Pairs (a, b) of different components among rows (key, fp, n, component) that share enough keys to reach the similarity.
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of sets of different components among rows (key, fp, n, component) that share enough keys to reach the similarity.
 
     With p of its n shingles as keys, a set has n - p others. Of the shingles that two sets share, all
     that aren't keys of both are among the others of one of them, so they share no more than their
-    common keys and the greater number of others. With neighbours, only sets next to each other by size at a
-    key are paired: few pairs, but not all.
+    common keys and the greater number of others. A key's largest component isn't compared with itself.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = gathered(batches)
-        if not len(rows):
-            return
-        rows = open_keys(rows).sort_values(["key", "n", "fp"])
-        key, fp, n, of = (rows[c].to_numpy() for c in ("key", "fp", "n", "component"))
-        others = least_common(n, similarity) - 1
-        at, d = np.arange(len(key)), 0
-        while len(at) and not (neighbours and d):
-            d += 1
-            at = at[at + d < len(key)]
-            at = at[(key[at] == key[at + d]) & (n[at] >= least_common(n[at + d], similarity))]
-            for part in range(0, len(at), 100_000):
-                x = at[part : part + 100_000]
-                x = x[of[x] != of[x + d]]
-                y = x + d
-                need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9).astype(np.int64) - np.maximum(others[x], others[y])
-                yield pd.DataFrame({"a": np.minimum(fp[x], fp[y]), "b": np.maximum(fp[x], fp[y]), "need": need})
-
-    pairs = rows.mapInPandas(run, "a long, b long, need long")
+    sizes_ = rows.groupBy("key", "component").agg(F.count("*").alias("sets"))
+    largest = sizes_.groupBy("key").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"), F.count("*").alias("components")).where("components > 1")
+    told = rows.join(largest.select("key", "largest"), "key")
+    some = told.where("component <> largest").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    pairs = told.join(some, "key").where("component <> component2 and (component = largest or fp < fp2)").where(fits("n", "n2", similarity))
+    others = lambda size: F.ceil(similarity * F.col(size) - 1e-9) - 1
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9) - F.greatest(others("n"), others("n2"))
+    pairs = pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), need.alias("need"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("need").alias("need")).where("keys >= need").select("a", "b")
 
 
@@ -282,40 +250,52 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     """docs with one row of each group of near copies, that of the smallest doc_id; columns stay as they are.
 
     Near copies are texts whose sets of shingles of n words have a Jaccard similarity of at least the
-    given one. All such pairs are found: in one order of all shingles, rare ones first, each set sends its first
-    ones, so many that two sets of the similarity share one of them (prefix filter), and each pair
-    that shares enough is decided by its whole sets. Pairs of neighbours come first, and pairs that those
-    have brought into one group aren't looked at again. Texts without words are copies of each other. Rows
+    given one. All such pairs count: shingles are counted over all rows, and each set has its rarest ones as
+    keys, so many that two sets of the similarity share one of them (prefix filter); a shingle of
+    one row only is no key, so most texts that are like no other have none. First each key's sets are
+    compared with one of them, then what isn't in one group yet is compared pair by pair; whole sets decide. Texts
+    without words are copies of each other. Rows
     are told apart by doc_id and text: of rows equal in both one stays, rows of one doc_id or a null one whose texts are in
     different groups all stay, and of those in one group one. A row of a null doc_id stays only where
     its group has no other; an empty table gives no rows.
     """
     nameless, row = F.col("doc_id").isNull(), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(t, n) for t in batch["text"]]
-            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            size = np.array([len(x) for x in found], np.int64)
-            first = np.where(size > 0, size - least_common(size, similarity) + 1, 0)
-            keys = [rare_first(x, often.value)[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
-            yield pd.DataFrame({"nameless": batch["nameless"], "doc_id": batch["doc_id"], "row": batch["row"], "fp": fps, "n": size, "keys": keys})
-
-    told = stored(docs.select(nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text", row.alias("row")).mapInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
+    _, units, buckets = sizes(docs)
+    each = docs.select(nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text", row.alias("row"))
+    sent = spread(dealt(each, units), UNIT, units, UNITS_EACH)
+    answers = stored(rarities(sent, UNIT, units, buckets, n))
+
+    def run(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        tidy()
+        found = [shingle_set(t, n) for t in rows["text"]]
+        fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+        size = np.array([len(x) for x in found], np.int64)
+        known = distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        rare = unpack(known, told, buckets, decoded)
+        keys = []
+        for x, k in zip(found, np.where(size > 0, size - least_common(size, similarity) + 1, 0).tolist(), strict=True):
+            count = rare[np.searchsorted(known, x)]
+            first = np.argsort(count, kind="stable")[:k]  # by count, then by hash: one order for all sets
+            keys.append(x[first][count[first] > 1].view(np.int64))
+        return pd.DataFrame({"nameless": rows["nameless"], "doc_id": rows["doc_id"], "row": rows["row"], "fp": fps, "n": size, "keys": keys})
+
+    both = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
+    told = stored(both.applyInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
     sets = stored(told.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "row")).alias("least")))
-    total = told.agg(F.sum(F.size("keys"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
-    keys = told.select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "n")
-    shared = stored(keys.repartition(parts, "key").mapInPandas(met, "key long, fp long, n long"))
+    open_ = stored(told.where("size(keys) > 0").select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "n", F.col("fp").alias("component")))
 
     def texts(needed: DataFrame) -> DataFrame:
         return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("least.row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
 
-    near = alike(proposed(shared.withColumn("component", F.col("fp")).repartition(parts, "key"), similarity, True), texts, n, similarity)
-    grouped = shared.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    rest = alike(proposed(grouped.select("key", "fp", "n", "component").repartition(parts, "key"), similarity, False), texts, n, similarity)
-    joined = components(near.unionByName(rest))
+    near, joined = None, None
+    for turn in range(STARS + 1):
+        found = alike(starred(open_, similarity, turn) if turn < STARS else across(open_, similarity), texts, n, similarity)
+        near = found if near is None else near.unionByName(found)
+        joined = components(near)
+        if turn < STARS:
+            now = open_.drop("component").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+            still = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            open_ = stored(now.join(still.select("key"), "key", "left_semi").select("key", "fp", "n", "component"))
     groups_of = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
     kept = groups_of.groupBy(F.coalesce("component", "fp")).agg(F.min("least")["row"].alias(key)).select(key)
