@@ -162,8 +162,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
 
 # Near copies by exact Jaccard similarity, for similarities at which 64 bits differ in more places than a radius can cover.
 
-#: Rounds in which a key's sets are compared with one of them only, before what is left is compared pair by pair.
-STARS = 2
+#: Rounds in which each set is compared with one other only, before what is left is compared pair by pair.
+STARS = 3
+#: 64-bit words of a set's parity map.
+MAP = [f"map{i}" for i in range(4)]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -172,6 +174,12 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return distinct(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Parity map of a set: each hash turns one of 64 * len(MAP) bits over, so maps differ in no more bits than sets in hashes."""
+    bits = np.bincount((found >> np.uint64(50)).astype(np.int64) % (64 * len(MAP)), minlength=64 * len(MAP)) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def least_common(size: np.ndarray | int, similarity: float) -> np.ndarray:
     """Shingles that a set of some size shares at least with any set of the similarity."""
     return np.ceil(similarity * size - 1e-9).astype(np.int64)
@@ -194,19 +202,25 @@ def rarities(sent: DataFrame, unit: str, units: int, buckets: int, n: int) -> Da
 
 
 def fits(one: str, other: str, similarity: float) -> Column:
-    """Whether two sets of these sizes can have the similarity."""
-    return F.least(one, other) >= F.ceil(similarity * F.greatest(one, other) - 1e-9)
+    """Whether two sets can have the similarity, by sizes and parity maps; one and other precede their columns n and MAP. No pair that has it is left out."""
+    n, m = F.col(f"{one}n"), F.col(f"{other}n")
+    apart = sum((F.bit_count(F.col(f"{one}{w}").bitwiseXOR(F.col(f"{other}{w}"))) for w in MAP), F.lit(0))
+    return (F.least(n, m) >= F.ceil(similarity * F.greatest(n, m) - 1e-9)) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+
+
+SET = ["fp", "component", "n", *MAP]
 
 
 def starred(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs (a, b) of each set with one set of each of its keys, the same for all sets of a key and for most keys of like sets; rows are (key, fp, n, component)."""
-    least = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("order"), "fp", "n", "component")).alias("rep"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    pairs = rows.join(least.select("key", "rep"), "key").where(F.col("component") != F.col("rep.component")).where(fits("n", "rep.n", similarity))
-    return pairs.select(F.least("fp", "rep.fp").alias("a"), F.greatest("fp", "rep.fp").alias("b")).distinct()
+    """Pairs (a, b) of each set with one other, the same one for all sets of a key: that of the key that most sets have. Rows are (key, *SET)."""
+    least = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("order"), *SET)).alias("rep"), F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    met = rows.join(least.select("key", "rep", "sets"), "key").where(F.col("component") != F.col("rep.component")).where(fits("", "rep.", similarity))
+    one = met.groupBy("fp").agg(F.max(F.struct("sets", "key", F.col("rep.fp").alias("other")))["other"].alias("other"))
+    return one.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
 def across(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of sets of different components among rows (key, fp, n, component) that share enough keys to reach the similarity.
+    """Pairs (a, b) of sets of different components among rows (key, *SET) that share enough keys to reach the similarity.
 
     With p of its n shingles as keys, a set has n - p others. Of the shingles that two sets share, all
     that aren't keys of both are among the others of one of them, so they share no more than their
@@ -215,11 +229,11 @@ def across(rows: DataFrame, similarity: float) -> DataFrame:
     sizes_ = rows.groupBy("key", "component").agg(F.count("*").alias("sets"))
     largest = sizes_.groupBy("key").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"), F.count("*").alias("components")).where("components > 1")
     told = rows.join(largest.select("key", "largest"), "key")
-    some = told.where("component <> largest").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    pairs = told.join(some, "key").where("component <> component2 and (component = largest or fp < fp2)").where(fits("n", "n2", similarity))
+    some = told.where("component <> largest").select("key", *[F.col(c).alias(f"other_{c}") for c in SET])
+    pairs = told.join(some, "key").where("component <> other_component and (component = largest or fp < other_fp)").where(fits("", "other_", similarity))
     others = lambda size: F.ceil(similarity * F.col(size) - 1e-9) - 1
-    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9) - F.greatest(others("n"), others("n2"))
-    pairs = pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), need.alias("need"))
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9) - F.greatest(others("n"), others("other_n"))
+    pairs = pairs.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"), need.alias("need"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("need").alias("need")).where("keys >= need").select("a", "b")
 
 
@@ -252,8 +266,9 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     Near copies are texts whose sets of shingles of n words have a Jaccard similarity of at least the
     given one. All such pairs count: shingles are counted over all rows, and each set has its rarest ones as
     keys, so many that two sets of the similarity share one of them (prefix filter); a shingle of
-    one row only is no key, so most texts that are like no other have none. First each key's sets are
-    compared with one of them, then what isn't in one group yet is compared pair by pair; whole sets decide. Texts
+    one row only is no key, so most texts that are like no other have none. First each set is
+    compared with one other, a few times, then what isn't in one group yet is compared pair by pair, as far
+    as sizes and parity maps allow the similarity; whole sets decide. Texts
     without words are copies of each other. Rows
     are told apart by doc_id and text: of rows equal in both one stays, rows of one doc_id or a null one whose texts are in
     different groups all stay, and of those in one group one. A row of a null doc_id stays only where
@@ -277,12 +292,13 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
             count = rare[np.searchsorted(known, x)]
             first = np.argsort(count, kind="stable")[:k]  # by count, then by hash: one order for all sets
             keys.append(x[first][count[first] > 1].view(np.int64))
-        return pd.DataFrame({"nameless": rows["nameless"], "doc_id": rows["doc_id"], "row": rows["row"], "fp": fps, "n": size, "keys": keys})
+        maps = np.stack([parity(x) for x in found]).T
+        return pd.DataFrame({"nameless": rows["nameless"], "doc_id": rows["doc_id"], "row": rows["row"], "fp": fps, "n": size, "keys": keys} | dict(zip(MAP, maps, strict=True)))
 
     both = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
-    told = stored(both.applyInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>"))
+    told = stored(both.applyInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>, " + ", ".join(f"{w} long" for w in MAP)))
     sets = stored(told.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "row")).alias("least")))
-    open_ = stored(told.where("size(keys) > 0").select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp", "n", F.col("fp").alias("component")))
+    open_ = stored(told.where("size(keys) > 0").select("fp", "n", "keys", *MAP).dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), F.col("fp").alias("component"), "fp", "n", *MAP))
 
     def texts(needed: DataFrame) -> DataFrame:
         return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("least.row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
@@ -295,7 +311,7 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
         if turn < STARS:
             now = open_.drop("component").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
             still = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            open_ = stored(now.join(still.select("key"), "key", "left_semi").select("key", "fp", "n", "component"))
+            open_ = stored(now.join(still.select("key"), "key", "left_semi").select("key", *SET))
     groups_of = sets.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     key = fresh("kept_id", docs.columns)
     kept = groups_of.groupBy(F.coalesce("component", "fp")).agg(F.min("least")["row"].alias(key)).select(key)

@@ -136,7 +136,7 @@ def test_shared_repetition_is_no_copy(spark):
     assert {r.doc_id for r in simhash_dedup.one_of_each(frame(spark, rows)).collect()} == set(range(12))
 
 
-@pytest.mark.parametrize("stars", [0, 1, 2])
+@pytest.mark.parametrize("stars", [0, 1, 3])
 def test_near_copies_against_all_pairs(spark, monkeypatch, stars):
     monkeypatch.setattr(simhash_dedup, "STARS", stars)
     rng = random.Random(12)
@@ -170,6 +170,15 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, stars):
     assert close > 30 and sorted(left) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_parity_maps_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 900):
+        a = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.sort(np.concatenate([a[: n - n // 10], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        apart = sum(int(x).bit_count() for x in (simhash_dedup.parity(a) ^ simhash_dedup.parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and not (simhash_dedup.parity(a) ^ simhash_dedup.parity(a[::-1].copy())).any()
+
+
 def test_rows_without_own_id_stay(spark):
     rng = random.Random(5)
     text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
