@@ -163,9 +163,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
 # Near copies by exact Jaccard similarity, for similarities at which 64 bits differ in more places than a radius can cover.
 
 #: Rounds in which each set is compared with one other only, before what is left is compared pair by pair.
-STARS = 3
+STARS = 1
+#: What a row of a key says of a set: sizes are those of the set, of the part that no other set has, and of its keys; place is the key's among these.
+SET = ["fp", "component", "n", "own", "sent", "place"]
 #: 64-bit words of a set's parity map.
-MAP = [f"map{i}" for i in range(4)]
+MAP = [f"map{i}" for i in range(16)]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -176,7 +178,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 def parity(found: np.ndarray) -> np.ndarray:
     """Parity map of a set: each hash turns one of 64 * len(MAP) bits over, so maps differ in no more bits than sets in hashes."""
-    bits = np.bincount((found >> np.uint64(50)).astype(np.int64) % (64 * len(MAP)), minlength=64 * len(MAP)) & 1
+    bits = np.bincount((found >> np.uint64(48)).astype(np.int64) % (64 * len(MAP)), minlength=64 * len(MAP)) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
@@ -201,40 +203,40 @@ def rarities(sent: DataFrame, unit: str, units: int, buckets: int, n: int) -> Da
     return answered(spread(sent.groupBy(unit).applyInPandas(ask, PACKED), "bucket", buckets, BUCKETS_EACH), add, coded)
 
 
-def fits(one: str, other: str, similarity: float) -> Column:
-    """Whether two sets can have the similarity, by sizes and parity maps; one and other precede their columns n and MAP. No pair that has it is left out."""
-    n, m = F.col(f"{one}n"), F.col(f"{other}n")
-    apart = sum((F.bit_count(F.col(f"{one}{w}").bitwiseXOR(F.col(f"{other}{w}"))) for w in MAP), F.lit(0))
-    return (F.least(n, m) >= F.ceil(similarity * F.greatest(n, m) - 1e-9)) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
-
-
-SET = ["fp", "component", "n", *MAP]
-
-
 def starred(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs (a, b) of each set with one other, the same one for all sets of a key: that of the key that most sets have. Rows are (key, *SET)."""
-    least = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("order"), *SET)).alias("rep"), F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    met = rows.join(least.select("key", "rep", "sets"), "key").where(F.col("component") != F.col("rep.component")).where(fits("", "rep.", similarity))
+    """Pairs (a, b) of each set with one other, the same one for all sets of a key: that of the key that most sets have. Rows are (key, *SET).
+
+    At first it is the set with the least share of shingles of its own, which copies of one text have in common.
+    """
+    share = F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)
+    least = rows.groupBy("key").agg(F.min(F.struct(share.alias("share"), F.xxhash64("fp", F.lit(turn)).alias("order"), "fp", "n", "component")).alias("rep"), F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    fit = F.least("n", "rep.n") >= F.ceil(similarity * F.greatest("n", "rep.n") - 1e-9)
+    met = rows.join(least.select("key", "rep", "sets"), "key").where((F.col("component") != F.col("rep.component")) & fit)
     one = met.groupBy("fp").agg(F.max(F.struct("sets", "key", F.col("rep.fp").alias("other")))["other"].alias("other"))
     return one.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
-def across(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of sets of different components among rows (key, *SET) that share enough keys to reach the similarity.
+def across(rows: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of sets of different components among rows (key, *SET) that can have the similarity; no pair that has it is left out.
 
     With p of its n shingles as keys, a set has n - p others. Of the shingles that two sets share, all
-    that aren't keys of both are among the others of one of them, so they share no more than their
-    common keys and the greater number of others. A key's largest component isn't compared with itself.
+    that aren't keys of both are among the others of one of them, so they have many keys in common;
+    the first of these is so early in both that the rest can follow, and only there the two meet. Parity maps
+    differ in no more bits than the sets in shingles. A key's largest component isn't compared with itself.
     """
-    sizes_ = rows.groupBy("key", "component").agg(F.count("*").alias("sets"))
-    largest = sizes_.groupBy("key").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"), F.count("*").alias("components")).where("components > 1")
-    told = rows.join(largest.select("key", "largest"), "key")
-    some = told.where("component <> largest").select("key", *[F.col(c).alias(f"other_{c}") for c in SET])
-    pairs = told.join(some, "key").where("component <> other_component and (component = largest or fp < other_fp)").where(fits("", "other_", similarity))
-    others = lambda size: F.ceil(similarity * F.col(size) - 1e-9) - 1
-    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9) - F.greatest(others("n"), others("other_n"))
-    pairs = pairs.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"), need.alias("need"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("need").alias("need")).where("keys >= need").select("a", "b")
+    sets = rows.groupBy("key", "component").agg(F.count("*").alias("sets"))
+    largest = sets.groupBy("key").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"), F.count("*").alias("components")).where("components > 1")
+    told = rows.join(largest.select("key", "largest"), "key").join(maps, "fp")
+    some = told.where("component <> largest").select("key", *[F.col(c).alias(f"other_{c}") for c in (*SET, *MAP)])
+    n, m = F.col("n"), F.col("other_n")
+    others = lambda size: F.ceil(similarity * size - 1e-9) - 1
+    need = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9) - F.greatest(others(n), others(m))
+    early = (F.col("place") <= F.col("sent") - need) & (F.col("other_place") <= F.col("other_sent") - need)
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in MAP), F.lit(0))
+    near = apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
+    fit = F.least(n, m) >= F.ceil(similarity * F.greatest(n, m) - 1e-9)
+    pairs = told.join(some, "key").where("component <> other_component and (component = largest or fp < other_fp)").where(fit & early & near)
+    return pairs.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -267,8 +269,8 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     given one. All such pairs count: shingles are counted over all rows, and each set has its rarest ones as
     keys, so many that two sets of the similarity share one of them (prefix filter); a shingle of
     one row only is no key, so most texts that are like no other have none. First each set is
-    compared with one other, a few times, then what isn't in one group yet is compared pair by pair, as far
-    as sizes and parity maps allow the similarity; whole sets decide. Texts
+    compared with one other, then what isn't in one group yet is compared pair by pair, as far
+    as sizes, places of keys and parity maps allow the similarity; whole sets decide. Texts
     without words are copies of each other. Rows
     are told apart by doc_id and text: of rows equal in both one stays, rows of one doc_id or a null one whose texts are in
     different groups all stay, and of those in one group one. A row of a null doc_id stays only where
@@ -287,25 +289,27 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
         size = np.array([len(x) for x in found], np.int64)
         known = distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         rare = unpack(known, told, buckets, decoded)
-        keys = []
+        keys, own = [], []
         for x, k in zip(found, np.where(size > 0, size - least_common(size, similarity) + 1, 0).tolist(), strict=True):
             count = rare[np.searchsorted(known, x)]
             first = np.argsort(count, kind="stable")[:k]  # by count, then by hash: one order for all sets
             keys.append(x[first][count[first] > 1].view(np.int64))
+            own.append(int(np.count_nonzero(count == 1)))
         maps = np.stack([parity(x) for x in found]).T
-        return pd.DataFrame({"nameless": rows["nameless"], "doc_id": rows["doc_id"], "row": rows["row"], "fp": fps, "n": size, "keys": keys} | dict(zip(MAP, maps, strict=True)))
+        return pd.DataFrame({"nameless": rows["nameless"], "doc_id": rows["doc_id"], "row": rows["row"], "fp": fps, "n": size, "own": own, "keys": keys} | dict(zip(MAP, maps, strict=True)))
 
     both = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
-    told = stored(both.applyInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, keys array<long>, " + ", ".join(f"{w} long" for w in MAP)))
+    told = stored(both.applyInPandas(run, "nameless boolean, doc_id long, row long, fp long, n long, own long, keys array<long>, " + ", ".join(f"{w} long" for w in MAP)))
     sets = stored(told.groupBy("fp").agg(F.min(F.struct("nameless", "doc_id", "row")).alias("least")))
-    open_ = stored(told.where("size(keys) > 0").select("fp", "n", "keys", *MAP).dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), F.col("fp").alias("component"), "fp", "n", *MAP))
+    open_ = stored(told.where("size(keys) > 0").select("fp", "n", "own", "keys").dropDuplicates(["fp"]).select(F.posexplode("keys").alias("place", "key"), F.col("fp").alias("component"), "fp", "n", "own", F.size("keys").alias("sent")).select("key", *SET))
+    maps = told.where("size(keys) > 0").select("fp", *MAP).dropDuplicates(["fp"])
 
     def texts(needed: DataFrame) -> DataFrame:
         return docs.select(row.alias("row"), "text").join(sets.join(needed, "fp", "left_semi").select("least.row", "fp"), "row").select("fp", "text").dropDuplicates(["fp"])
 
     near, joined = None, None
     for turn in range(STARS + 1):
-        found = alike(starred(open_, similarity, turn) if turn < STARS else across(open_, similarity), texts, n, similarity)
+        found = alike(starred(open_, similarity, turn) if turn < STARS else across(open_, maps, similarity), texts, n, similarity)
         near = found if near is None else near.unionByName(found)
         joined = components(near)
         if turn < STARS:

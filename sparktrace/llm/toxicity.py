@@ -175,13 +175,14 @@ def cut(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[list[bytes]], labels: np.ndarray, prior: float | None = None, epochs: int = 6, least_steps: int = 150, seed: int = 11) -> Network:
     """Fit on documents given as words; labels are 0 and 1 and prior the share of 1 to calibrate for.
 
-    Words in fewer than FREQUENT documents have no embedding of their own, only their characters'.
+    texts is emptied. Words in fewer than FREQUENT documents have no embedding of their own, only their characters'.
     """
     net = Network(seed)
     if len(set(labels.tolist())) < 2:
         net.scale, net.shift = 0.0, UNTAUGHT
         return net
     ids, counts, known = vocabulary(texts)
+    texts.clear()  # as numbers they take a small part of that
     windows, text = cut(ids, counts)
     found = list(known)
     rng = np.random.default_rng(seed)
@@ -205,12 +206,15 @@ def train(texts: list[list[bytes]], labels: np.ndarray, prior: float | None = No
     net.p["char"] *= 0.3
     if len(pairs):
         net.p["word"][word_rows[1:], 0] = np.clip(odds[1:], -3, 5) / 2
-        word, of = pairs % len(found), pairs // len(found)
-        used = sizes[word]
-        at_gram = grams[np.arange(used.sum()) + np.repeat(gram_first[word] - np.cumsum(used) + used, used)]
-        both = distinct(np.repeat(of, used) * np.int64(CHAR_ROWS) + at_gram)
-        bad = np.bincount(both % CHAR_ROWS, labels[both // CHAR_ROWS], CHAR_ROWS)
-        seen = np.bincount(both % CHAR_ROWS, minlength=CHAR_ROWS)
+        bad, seen = np.zeros(CHAR_ROWS), np.zeros(CHAR_ROWS)
+        for i in range(0, len(labels), 100):  # some documents at a time: their trigrams are many more than their words
+            some = pairs[np.searchsorted(pairs, i * len(found)) : np.searchsorted(pairs, (i + 100) * len(found))]
+            word, of = some % len(found), some // len(found)
+            used = sizes[word]
+            at_gram = grams[np.arange(used.sum()) + np.repeat(gram_first[word] - np.cumsum(used) + used, used)]
+            both = distinct(np.repeat(of, used) * np.int64(CHAR_ROWS) + at_gram)
+            bad += np.bincount(both % CHAR_ROWS, labels[both // CHAR_ROWS], CHAR_ROWS)
+            seen += np.bincount(both % CHAR_ROWS, minlength=CHAR_ROWS)
         gram_odds = np.log((bad + share) / (seen - bad + 1 - share)) - np.log(share / (1 - share + 1e-9) + 1e-9)
         net.p["char"][:, 0] = np.where(seen >= FREQUENT, np.clip(gram_odds, -3, 5), 0) / 2
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -325,8 +329,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
         if held:
             rows = pd.concat(held, ignore_index=True).sort_values(["doc_id", "text"])
             texts, marks = [words(t) for t in rows["text"]], rows["toxic"].to_numpy(float)
+            del rows
         held.clear()
-        yield pd.DataFrame({"network": [pickle.dumps(train(texts, marks, prior))]})
+        net = pickle.dumps(train(texts, marks, prior))
+        tidy()
+        yield pd.DataFrame({"network": [net]})
 
     row = found.repartition(1).mapInPandas(fit, "network binary").first()
     return pickle.loads(row["network"]) if row else train([], np.zeros(0))  # without rows no task runs
