@@ -24,7 +24,7 @@ def targets(direct: DataFrame, classes: DataFrame) -> DataFrame:
     c = classes.select("signature", "class_id", F.col("target_id").alias("c_id"), F.col("t_us").alias("c_us"), F.col("target_status").alias("c_status"))
     own = F.col("d_id").isNotNull()
     return d.join(c, "signature", "full").select(
-        "signature", F.coalesce("d_id", "c_id").alias("target_id"), F.when(own, "direct").otherwise("class").alias("target_kind"), F.when(~own, F.col("class_id")).alias("target_class_id"),
+        "signature", F.coalesce("d_id", "c_id").alias("target_id"), F.when(own, "operation").otherwise("explicit_class").alias("target_kind"), F.when(~own, F.col("class_id")).alias("target_class_id"),
         F.when(own, F.col("class_id")).alias("overridden_class_id"), F.when(own, F.col("d_us")).otherwise(F.col("c_us")).alias("t_us"), F.when(own, F.col("d_status")).otherwise(F.col("c_status")).alias("target_status"),
     )
 
@@ -53,18 +53,22 @@ def score() -> list[Column]:
         n.alias("covered_call_count"), n.alias("apdex_denominator"), F.when(any_, s).alias("satisfied_count"), F.when(any_, t).alias("tolerating_count"), F.when(any_, of("category", "frustrated")).alias("frustrated_count"),
         F.when(any_, 2 * s + t).alias("apdex_numerator_twice"), F.when(any_, (2 * s + t) / (2 * n)).alias("apdex"), F.when(any_, of("latency_category", "frustrated")).alias("latency_frustrated_count"),
         F.when(any_, F.count_if(failed & F.col("t_us").isNotNull() & (F.col("latency_category") != "frustrated"))).alias("forced_frustrated_count"), F.count_if(failed).alias("confirmed_failure_count"),
+        F.count_if(~failed).alias("business_outcome_unknown_count"), F.count_if(F.col("error_count") > 0).alias("calls_with_linked_error_events"),
     ]
 
 
 def groups(calls: DataFrame, history: DataFrame, goals: DataFrame, min_count: int = 2) -> DataFrame:
     """Per cohort and measurement of the grid, with its target."""
     found = calls.groupBy(*COHORT, "measurement_id").agg(*score())
-    grid = history.select(*COHORT, "measurement_id", "measurement_order", "series_order_reliable", "count", "first_observation", "previous_observation", "previous_measurement")
+    grid = history.select(*COHORT, "measurement_id", "measurement_order", "series_order_reliable", "count", "first_observation", "previous_observation", "previous_measurement", "series_baseline")
     out = grid.join(goals, "signature", "left").join(found, [*COHORT, "measurement_id"], "left")
-    out = out.withColumn("target_coverage_status", F.when(F.col("t_us").isNull(), "target_not_defined").otherwise("covered"))
+    out = out.withColumn("target_coverage_status", F.when(F.col("t_us").isNull(), "uncovered_no_target").otherwise("target_defined"))
     for c in ("covered_call_count", "apdex_denominator", "confirmed_failure_count"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    return out.withColumn("small_sample_warning", F.col("count") < min_count)
+    some = (F.col("count") > 0) & (F.col("count") < min_count)
+    size = F.when(F.col("count") == 0, "no_calls").when(some, "below_configured_minimum").otherwise("meets_count_threshold_only")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("business_outcome_unknown_count", "calls_with_linked_error_events")})
+    return out.withColumns({"small_sample_warning": some, "sample_size_status": size, "four_t_us": 4 * F.col("t_us")})
 
 
 def uncovered(rows: DataFrame) -> DataFrame:
@@ -78,37 +82,39 @@ def coverage(calls: DataFrame) -> DataFrame:
     n, ops, with_target = F.count("*"), F.count_distinct("signature"), F.count_distinct(on(has))
     status = [x for s in STATUSES for x in (F.count_if(F.col("target_status") == s).alias(f"{s}_call_count"), F.count_distinct(on(F.col("target_status") == s)).alias(f"{s}_operation_count"))]
     return calls.groupingSets([["measurement_id"], []], "measurement_id").agg(
-        F.when(F.grouping("measurement_id") == 1, "all_selected_measurements").otherwise("measurement").alias("population_scope"), n.alias("total_call_count"),
+        F.when(F.grouping("measurement_id") == 1, "selected_measurements_all_users").otherwise("measurement_all_users").alias("population_scope"), n.alias("total_call_count"),
         F.count("t_us").alias("covered_call_count"), F.count_if(~has).alias("uncovered_call_count"), percent(F.count("t_us"), n).alias("covered_call_percent"), ops.alias("observed_operation_count"),
         with_target.alias("covered_operation_count"), (ops - with_target).alias("uncovered_operation_count"), percent(with_target, ops).alias("covered_operation_percent"), *status,
         F.count_if("confirmed_failure").alias("confirmed_failure_count"), F.count_if(F.col("confirmed_failure") & ~has).alias("uncovered_confirmed_failure_count"),
     )
 
 
-def overall(calls: DataFrame) -> DataFrame:
+def overall(calls: DataFrame, min_count: int = 2) -> DataFrame:
     """Pooled counts per scope and target status; every scope has a row of each status."""
     scopes = calls.groupingSets([["measurement_id"], []], "measurement_id").agg(
-        F.when(F.grouping("measurement_id") == 1, "all_selected_measurements").otherwise("measurement").alias("population_scope"), F.count("*").alias("total_calls_in_scope"), F.count_if(F.col("t_us").isNull()).alias("calls_without_target"),
+        F.when(F.grouping("measurement_id") == 1, "selected_measurements_all_users").otherwise("measurement_all_users").alias("population_scope"), F.count("*").alias("total_calls_in_scope"), F.count_if(F.col("t_us").isNull()).alias("calls_without_target"),
     ).withColumn("target_status", F.explode(F.array(*[F.lit(s) for s in STATUSES])))
     found = calls.where("t_us is not null").groupingSets([["measurement_id", "target_status"], ["target_status"]], "measurement_id", "target_status").agg(
-        F.when(F.grouping("measurement_id") == 1, "all_selected_measurements").otherwise("measurement").alias("population_scope"), F.count_distinct("signature").alias("operation_count"),
+        F.when(F.grouping("measurement_id") == 1, "selected_measurements_all_users").otherwise("measurement_all_users").alias("population_scope"), F.count_distinct("signature").alias("operation_count"),
         F.count_distinct("user").alias("user_identifier_count"), F.array_join(F.array_sort(F.collect_set("target_id")), " | ").alias("target_ids"), *score(),
     )
     keys = ["population_scope", "measurement_id", "target_status"]
     found = found.withColumnsRenamed({k: f"f_{k}" for k in keys})
     out = scopes.join(found, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys]), "left").drop(*[f"f_{k}" for k in keys])
-    for c in ("operation_count", "user_identifier_count", "covered_call_count", "apdex_denominator", "confirmed_failure_count"):
+    for c in ("operation_count", "user_identifier_count", "covered_call_count", "apdex_denominator", "confirmed_failure_count", "business_outcome_unknown_count", "calls_with_linked_error_events"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
     out = out.withColumn("target_ids", F.coalesce("target_ids", F.lit("")))
     out = out.withColumn("calls_with_other_target_status", F.col("total_calls_in_scope") - F.col("calls_without_target") - F.col("covered_call_count"))
+    few = (F.col("covered_call_count") > 0) & (F.col("covered_call_count") < min_count)
+    out = out.withColumn("small_sample_warning", few).withColumn("sample_size_status", F.when(F.col("covered_call_count") == 0, "no_scored_calls").when(few, "below_configured_minimum").otherwise("meets_count_threshold_only"))
     return out.withColumn("scored_call_percent", percent(F.col("covered_call_count"), F.col("total_calls_in_scope")))
 
 
 def composition(calls: DataFrame, pooled: DataFrame) -> DataFrame:
     """Each group's weight in and contribution to the overall scores that it is part of."""
     group = calls.where("t_us is not null").groupBy(*COHORT, "measurement_id", "target_status").agg(F.count("*").alias("call_count"), *score())
-    group = group.withColumn("population_scope", F.explode(F.array(F.lit("measurement"), F.lit("all_selected_measurements"))))
-    group = group.withColumn("scope_measurement", F.when(F.col("population_scope") == "measurement", F.col("measurement_id")))
+    group = group.withColumn("population_scope", F.explode(F.array(F.lit("measurement_all_users"), F.lit("selected_measurements_all_users"))))
+    group = group.withColumn("scope_measurement", F.when(F.col("population_scope") == "measurement_all_users", F.col("measurement_id")))
     whole = pooled.where("apdex_denominator > 0").select(
         F.col("population_scope").alias("o_scope"), F.col("measurement_id").alias("o_measurement"), F.col("target_status").alias("o_status"), F.col("apdex_denominator").alias("overall_apdex_denominator")
     )
@@ -120,15 +126,17 @@ def composition(calls: DataFrame, pooled: DataFrame) -> DataFrame:
     )
 
 
-def apdex_changes(rows: DataFrame, baseline: str | None = None) -> DataFrame:
-    """Comparisons of scores; they need a known user and the same target on both sides."""
-    pairs = referenced(rows, COHORT, BASES, baseline)
+def apdex_changes(rows: DataFrame) -> DataFrame:
+    """Comparisons of scores; they need the same target on both sides and a known user."""
+    pairs = referenced(rows, COHORT, BASES)
     known = ~F.coalesce("user", F.lit("")).isin(*UNKNOWN_USERS)
     same = F.col("target_id").isNotNull() & (F.col("target_id") == F.col("r_target_id"))
     numeric = F.col("comparison_state") == "numerical_comparison"
-    state = F.when(numeric & ~known, "user_identity_unknown").when(numeric & ~F.coalesce(same, F.lit(False)), "target_not_defined_or_different").otherwise(F.col("comparison_state"))
-    pairs = pairs.withColumn("comparison_state", state)
+    state = F.when(numeric & ~F.coalesce(same, F.lit(False)), "missing_target").when(numeric & ~known, "user_identity_unknown").otherwise(F.col("comparison_state"))
+    both = F.coalesce((F.col("count") > 0) & (F.col("r_count") > 0), F.lit(False))
+    warned = F.coalesce(F.col("r_small_sample_warning"), F.lit(False)) | F.col("small_sample_warning")
+    pairs = pairs.withColumn("operation_comparison_state", F.col("comparison_state")).withColumn("comparison_state", state)
     return pairs.select(
-        *COHORT, "comparison_basis", "reference_measurement_id", F.col("measurement_id").alias("current_measurement_id"), "comparison_state", "reference_relation",
-        F.when(F.col("reference_measurement_id").isNotNull(), F.coalesce(same, F.lit(False))).alias("target_match"), *[c for m in SCORES for c in changes(m)],
+        *COHORT, "comparison_basis", "reference_measurement_id", F.col("measurement_id").alias("current_measurement_id"), "operation_comparison_state", "comparison_state", "reference_relation",
+        F.when(both, F.coalesce(same, F.lit(False))).alias("target_match"), F.when(both & known, True).alias("user_match"), warned.alias("small_sample_warning"), *[c for m in SCORES for c in changes(m)],
     )

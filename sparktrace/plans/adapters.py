@@ -47,6 +47,8 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(user_id % 25 = 0, '(not specified)', concat('user', user_id)) user",
         "concat('d', user_id % 2) dataset_id",
         "concat('rphost_', user_id % 4) process",
+        "concat('cap', user_id % 2) capture_id",
+        "concat('cap', user_id % 2, '/d', user_id % 2, '/rphost_', user_id % 4) source",
         "if(event_type <> 'CALL' and event_id % 50 = 7, '', cast(user_id % 8 as string)) thread",
         "if(k % 3 = 0, null, cast(k % 3 as string)) session",
         "if(k % 4 = 0, null, cast(k % 4 as string)) connect_id",
@@ -65,6 +67,20 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of the sources of trace_events: one of each process and capture, and nations as further files of the first capture."""
+    own = trace_events(spark, sf_dir).select(F.col("source").alias("logical"), "dataset_id", "capture_id", "process").distinct()
+    status = "case process when 'rphost_1' then 'partial_nul_salvaged' when 'rphost_3' then 'valid_no_timestamp' else 'valid' end"
+    more = "case n_nationkey % 4 when 0 then 'skipped_duplicate' when 1 then 'skipped' else 'valid' end"
+    nations = table(spark, sf_dir, "nation").selectExpr("n_name logical", "'d0' dataset_id", "'cap0' capture_id", "'' process", f"{more} status", "if(n_nationkey % 8 = 1, 'empty_or_bom_only', if(n_nationkey % 4 = 1, 'no_record_head', '')) reason", "cast(n_nationkey as bigint) analyzed_bytes")
+    return own.selectExpr("*", f"{status} status", "if(process = 'rphost_1', 'nul_bytes', '') reason", "1000L analyzed_bytes").unionByName(nations)
+
+
+def trace_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that failed per data set: one in 101 events."""
+    return trace_events(spark, sf_dir).groupBy("dataset_id").agg(F.count_if(F.col("event_id") % 101 == 0).alias("parse_errors"))
+
+
 def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as calls with their line items as linked DB events: the chatty measures at the size of lineitem."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("db_count"), F.expr("sum(cast(l_quantity * 1000 as bigint))").alias("db_duration_us"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from sparktrace.operators import chatty as chatty_
 from sparktrace.operators import linking, problems, quality, report, series, verify
 from sparktrace.plans import adapters
 from sparktrace.plans.adapters import table
+from sparktrace.plans.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -255,29 +255,43 @@ def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Configuration of the queries: chatty thresholds, longest fast call, duration bands, targets, rules.
 THRESHOLDS, FAST_US, BOUNDS = [0, 1], 60_000_000_000, [30_000_000_000, 90_000_000_000, 180_000_000_000]
 RULES = [
+    problems.Rule("clean", "operation.max_us", ">", 250e9, 1, require_clean_sources=True, users=("user1", "user2", "user3", "(not specified)")),
     problems.Rule("slow", "operation.avg_us", ">", 150e9, 2),
     problems.Rule("chatty", "db_chatty.calls_above_threshold_percent", ">=", 50, 1, db_events_threshold=0, min_db_linked_count_percent=20),
-    problems.Rule("score", "apdex.deficit", ">", 0.5, 1),
+    problems.Rule("score", "apdex.deficit", ">", 0.5, 1, signatures=("op0", "op1", "op2", "op4")),
     problems.Rule("linked", "operation.db_count_sum", ">=", 2, 1, min_db_linked_duration_percent=24),
 ]
 
 
 class Slices(Trace):
-    """Tables that several derived tables share: calls and history are kept, on disk where memory is short, as each is read many times."""
+    """Tables that several derived tables share; links, calls, quality and history are computed once, as each is read many times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
         direct = "values ('op0', 'fast', 36000000000L, 'business_approved'), ('op3', 'own', 72000000000L, 'engineering_proposal') t(signature, target_id, t_us, target_status)"
         classes = "values ('op1', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op2', 'c1', 'slow', 60000000000L, 'engineering_proposal'), ('op3', 'c1', 'slow', 60000000000L, 'engineering_proposal') t(signature, class_id, target_id, t_us, target_status)"
         self.goals = apdex_.targets(spark.sql("select * from " + direct), spark.sql("select * from " + classes))
+        self.files, self.parse_errors = adapters.trace_files(spark, sf_dir), adapters.trace_parse_errors(spark, sf_dir)
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        return kept(super().linked)
 
     @cached_property
     def observed(self) -> DataFrame:
-        return A.observations(self.events, self.linked).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept(quality.with_source_status(A.observations(self.events, self.linked), self.files))
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return kept(series.measurements(self.observed, self.events.groupBy("measurement_id").agg(F.min("end_us").alias("first_us")), baseline="m1"))
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return kept(quality.data_quality(self.observed, self.linked, self.events, self.files, self.parse_errors, series=self.series))
 
     @cached_property
     def history(self) -> DataFrame:
-        return series.history(self.observed).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept(series.history(self.observed, False, self.series, self.quality))
 
     @property
     def chatty(self) -> DataFrame:
@@ -293,7 +307,7 @@ class Slices(Trace):
 
     @property
     def problems(self) -> DataFrame:
-        return problems.evaluate(RULES, self.history, self.chatty, self.apdex, quality.linkage_percents(self.linked).select("measurement_id", "db_linked_count_percent", "db_linked_duration_percent"))
+        return kept(problems.evaluate(RULES, self.history, self.chatty, self.apdex))
 
 
 def named(name: str, build: Callable[[Slices], DataFrame]) -> None:
@@ -304,25 +318,25 @@ def named(name: str, build: Callable[[Slices], DataFrame]) -> None:
     query(run)
 
 
-REFERENCES = ("first_observation", "previous_observation", "previous_measurement")
-named("data_quality", lambda s: quality.data_quality(s.observed, s.linked))
+REFERENCES = ("first_observation", "previous_observation", "previous_measurement", "series_baseline")
+named("data_quality", lambda s: s.quality)
 named("operation_history", lambda s: s.history)
-named("operation_history_all_users", lambda s: series.history(s.observed, pooled=True).drop("user"))
-named("measurement_comparisons", lambda s: series.comparisons(s.history, "m1"))
-named("comparability", lambda s: series.comparability(s.history, baseline="m1"))
+named("operation_history_all_users", lambda s: series.history(s.observed, True, s.series, s.quality).drop("user"))
+named("measurement_comparisons", lambda s: series.comparisons(s.history))
+named("comparability", lambda s: series.comparability(s.history))
 named("db_chatty", lambda s: s.chatty.drop(*REFERENCES))
 named("db_chatty_calls", lambda s: chatty_.chatty_calls(s.observed, THRESHOLDS, FAST_US, BOUNDS))
 named("db_chatty_fast_calls", lambda s: chatty_.chatty_calls(s.observed, THRESHOLDS, FAST_US, BOUNDS).where("is_fast_call"))
 named("db_chatty_duration", lambda s: chatty_.durations(s.observed, THRESHOLDS, BOUNDS))
-named("db_chatty_coverage", lambda s: chatty_.coverage(s.observed, THRESHOLDS))
+named("db_chatty_coverage", lambda s: chatty_.coverage(s.observed, THRESHOLDS, FAST_US))
 named("db_chatty_changes", lambda s: chatty_.chatty_changes(s.chatty))
 named("apdex", lambda s: s.apdex.drop(*REFERENCES))
 named("apdex_uncovered", lambda s: apdex_.uncovered(s.apdex).drop(*REFERENCES))
-named("apdex_calls", lambda s: s.classified.where("t_us is not null").select("call_id", "signature", "user", "measurement_id", "duration_us", *apdex_.TARGET, "latency_category", "category", "confirmed_failure", F.col("error_count").alias("linked_error_count")))
+named("apdex_calls", lambda s: s.classified.where("t_us is not null").select("call_id", "signature", "user", "measurement_id", "duration_us", *apdex_.TARGET, "latency_category", "category", "confirmed_failure", F.when(F.col("confirmed_failure"), "confirmed_failure").otherwise("unknown").alias("business_outcome"), F.col("error_count").alias("linked_error_count")))
 named("apdex_coverage", lambda s: apdex_.coverage(s.classified))
 named("apdex_overall", lambda s: apdex_.overall(s.classified))
 named("apdex_composition", lambda s: apdex_.composition(s.classified, apdex_.overall(s.classified)))
-named("apdex_changes", lambda s: apdex_.apdex_changes(s.apdex, "m1"))
+named("apdex_changes", lambda s: apdex_.apdex_changes(s.apdex))
 named("problem_history", lambda s: problems.history(s.problems))
 named("problem_registry", lambda s: problems.registry(problems.history(s.problems)))
 named("problem_new", lambda s: problems.new(problems.history(s.problems)))
@@ -368,6 +382,22 @@ def report_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_trajectories(Slices(spark, sf_dir).history, ["signature", "user"], "duration_us_sum", 10).select("signature", "user", "measurement_id", "count", "duration_us_sum")
 
 
+@query
+def report_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons beside what is known of their comparability, joined one to one."""
+    s = Slices(spark, sf_dir)
+    keys = ["signature", "user", "comparison_basis", "reference_measurement_id", "current_measurement_id"]
+    joined = report.one_to_one(series.comparisons(s.history), series.comparability(s.history), keys)
+    return joined.select(*keys, "reference_count", "current_count", "comparison_state", F.col("right_comparability_status").alias("comparability_status"), F.col("right_user_match").alias("user_match"))
+
+
+@query
+def report_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each row of the history as a report shows it, and why its p95 and CPU share are empty."""
+    rows = report.presented(Slices(spark, sf_dir).history)
+    return rows.select("signature", "user", "measurement_id", "row_state", F.col("missing_reasons")["p95_us"].alias("p95_reason"), F.col("missing_reasons")["cpu_percent_of_wall"].alias("cpu_reason"))
+
+
 @query
 def verify_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of decisions against evidence; every count must be zero."""

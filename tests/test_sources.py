@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import json
 import tarfile
 import zipfile
 
@@ -49,6 +51,8 @@ def test_records_positions():
 def test_logs_to_tables(spark, tmp_path):
     write(tmp_path)
     found = tj.sources(spark, str(tmp_path))
+    assert {(r.logical, r.selected, r.reason) for r in tj.inventory(tj.listed(spark, str(tmp_path))).collect()} == {("capture.zip", False, "extracted_folder_has_logs"), ("more.zip", True, "read"), ("one.log.gz", True, "read"), ("some.tar.gz", True, "read")}
+    assert tj.sources(spark, str(tmp_path), excluded=("capture",)).count() < found.count()
     health = {(r.logical, r.status) for r in tj.files(found).collect()}
     assert ("capture/rphost_1/26090310.log", "valid") in health
     assert ("capture/rphost_1/26090311.log", "skipped") in health and ("capture/rphost_1/26090312.log", "skipped") in health
@@ -78,11 +82,52 @@ def test_too_many_members_are_told(spark, tmp_path, monkeypatch):
     assert len(list(tj.members("many.zip", (tmp_path / "many.zip").read_bytes()))) == 4
 
 
-def test_repeated_members_count_once(spark, tmp_path):
+def test_repeated_members_are_sources_of_their_own(spark, tmp_path):
+    """Names may repeat in an archive, so ordinals tell members apart, unless a source map makes them one source."""
     with zipfile.ZipFile(tmp_path / "twice.zip", "w") as z:
         z.writestr("rphost_1/26090310.log", LOG)
         z.writestr("rphost_1/26090310.log", LOG)
         z.writestr("rphost_1/26090310.log", LOG + LOG)
     found = tj.sources(spark, str(tmp_path))
-    assert sorted(r.status for r in tj.files(found).collect()) == ["skipped_duplicate", "valid", "valid"]
-    assert tj.records(found).count() == 9
+    health = tj.files(found)
+    assert [r.status for r in health.collect()] == ["valid"] * 3
+    events = tj.events(tj.records(tj.accepted(found, health)))
+    assert events.count() == events.select("event_id").distinct().count() == events.select("event_sha256").distinct().count() == 12
+    locators = [r.locator for r in health.orderBy("member_ordinal").collect()]
+    one = [(x, "box", "rphost_1", "the log") for x in locators[:2]]
+    health = tj.files(found, capture="c", mapped=one)
+    assert sorted(r.status for r in health.collect()) == ["skipped_duplicate", "valid", "valid"]
+    assert tj.records(tj.accepted(found, health)).count() == 9
+    health = tj.files(found, capture="c", mapped=[(x, "box", "rphost_1", "the log") for x in locators[1:]])
+    assert sorted(r.status for r in health.collect()) == ["conflicting_version", "valid", "valid"]
+    read = tj.source_map(json.dumps({"source_identity_version": "1.0", "capture_id": "c", "sources": [{"locator": json.loads(x), "origin_id": "box", "process_scope": "rphost_1", "logical_log_key": "the log"} for x in locators[:2]]}))
+    assert read == ("c", one)
+
+
+def test_ids_follow_the_records(spark, tmp_path):
+    write(tmp_path)
+    found = tj.sources(spark, str(tmp_path))
+    events = tj.events(tj.records(tj.accepted(found, tj.files(found, root="r"))))
+    rows = events.select("event_id", "source_id", "byte_start", "event_sha256", "raw_record_sha256").collect()
+    assert len({r.event_id for r in rows}) == len(rows)
+    by_source = sorted(rows, key=lambda r: r.event_id)
+    assert [(r.source_id, r.byte_start) for r in by_source] == sorted((r.source_id, r.byte_start) for r in rows)
+    digest = lambda *x: hashlib.sha256(json.dumps(list(x), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert all(r.event_sha256 == digest("event/v1", r.source_id, r.byte_start, r.raw_record_sha256) for r in rows)
+
+
+def test_what_breaks_off_is_read_in_part(spark, tmp_path, monkeypatch):
+    whole = gzip.compress((LOG * 3000).encode())
+    (tmp_path / "cut.log.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "rphost_1").mkdir()
+    (tmp_path / "rphost_1" / "26090310.log").write_text(LOG)
+    found = tj.sources(spark, str(tmp_path))
+    health = {r.logical: r for r in tj.files(found).collect()}
+    cut = health["cut.log.gz/cut.log"]
+    assert cut.status == "partial_read_error" and 0 < cut.analyzed_bytes < cut.size_bytes
+    some = tj.records(tj.accepted(found, tj.files(found))).where("logical like 'cut%'")
+    assert 0 < some.count() < 9000 and some.where("parse_error").count() == 0
+    assert tj.inspect(b"x" * 50, "partial_read_error: no", "a.log", False)[0] == "skipped"
+    monkeypatch.setattr(tj, "MAX_RECORD", 200)
+    long = LOG.encode() + b"00:01.000000-1,CALL,1,Context='" + b"y" * 300 + b"'\r\n"
+    assert tj.inspect(long, "", "26090310.log", False) == ("partial_read_error", f"record at byte {len(LOG)} is over 200 bytes", len(LOG))
