@@ -67,6 +67,28 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace_events written out as logs, one per process and hour, in the form that the reader lists files in; events without time are in logs without a date.
+
+    Beside them lie files that can't be read as they are: a byte order mark alone, text without a record, and records before a NUL byte.
+    """
+    quoted = lambda name, column: F.when(F.col(column).isNotNull(), F.concat(F.lit(f",{name}='"), F.replace(F.col(column), F.lit("'"), F.lit("''")), F.lit("'"))).otherwise("")
+    fields = {
+        "Usr": "usr_raw", "OSThread": "thread", "SessionID": "session", "t:connectID": "connect_id", "Context": "context", "CpuTime": "cpu_us_raw", "Memory": "memory_raw", "MemoryPeak": "memory_peak_raw",
+        "InBytes": "in_bytes_raw", "OutBytes": "out_bytes_raw", "RowsAffected": "rows_affected_raw", "Sql": "sql_text", "Descr": "message",
+    }
+    e = trace_events(spark, sf_dir)
+    tail = [quoted(n, c) for n, c in fields.items()]
+    own = F.when(F.col("event_type") == "CALL", F.concat(F.lit(",Func="), "signature")).otherwise("")
+    e = e.withColumn("line", F.concat(F.date_format("ts", "mm:ss.SSSSSS"), F.lit("-"), F.col("duration_us").cast("string"), F.lit(","), "event_type", F.lit(",1,EventId="), F.col("event_id").cast("string"), *tail, own, F.lit("\r\n")))
+    name = F.when(F.col("end_us").isNull(), "undated").otherwise(F.date_format("ts", "yyMMddHH"))
+    logs = e.groupBy(F.concat_ws("/", "capture_id", "dataset_id", "process", F.concat(name, F.lit(".log"))).alias("logical")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "line"))).alias("lines"))
+    logs = logs.select("logical", F.encode(F.array_join(F.transform("lines", lambda x: x["line"]), ""), "UTF-8").alias("content"))
+    odd = "values ('cap9/rphost_9/24010100.log', unhex('EFBBBF')), ('cap9/rphost_9/24010101.log', encode('no record here', 'UTF-8')), ('cap9/rphost_9/24010102.log', encode(concat('00:01.000000-5,CALL,1,Usr=a\\n00:02.000000-5,CALL,1,Usr=b\\n00:03.0', char(0)), 'UTF-8')) t(logical, content)"
+    every = logs.unionByName(spark.sql(f"select * from {odd}"))
+    return every.select(F.col("logical").alias("path"), "logical", F.octet_length("content").cast("long").alias("length"), "content", F.lit("read").alias("inventory"))
+
+
 def trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of the sources of trace_events: one of each process and capture, and nations as further files of the first capture."""
     own = trace_events(spark, sf_dir).select(F.col("source").alias("logical"), "dataset_id", "capture_id", "process").distinct()

@@ -212,3 +212,38 @@ ORACLE = {
     "sql_fingerprints": BASE + "select sha256('1c-tj-sql' || chr(0) || '2.0' || chr(0) || sql_pattern) sql_fingerprint_sha256, count(*) count, min(sql_pattern) sql_pattern from dec where event_type = 'DBPOSTGRS' and sql_pattern is not null group by 1",
     "source_dedup": "select doc_id, source, case when row_number() over (partition by source, coalesce(text, '') order by doc_id) = 1 then 'valid' else 'skipped_duplicate' end status from documents",
 }
+
+#: The same events as logs tell them: the folder is the data set, and capture and day are the measurement.
+_LOGS = {
+    "'d' || (user_id % 2) dataset_id": "'cap' || (user_id % 2) || '/d' || (user_id % 2) || '/rphost_' || (user_id % 4) dataset_id, 'cap' || (user_id % 2) capture_id",
+    "'m' || (1 + (day(ts) - 1) // 7) measurement_id": "'cap' || (user_id % 2) || '@' || coalesce(strftime(case when event_type = 'CALL' or event_id % 97 <> 0 then ts end, '%Y-%m-%d'), 'unknown-date') measurement_id",
+}
+LOG_BASE = BASE
+for _old, _new in _LOGS.items():
+    assert _old in LOG_BASE
+    LOG_BASE = LOG_BASE.replace(_old, _new)
+
+
+def on_logs(name: str, *without: str) -> str:
+    sql = ORACLE[name].replace(BASE, LOG_BASE)
+    return f"select * exclude ({', '.join(without)}) from ({sql})" if without else sql
+
+
+_SOURCE = "dataset_id || '/' || case when end_us is null then 'undated' else strftime(ts, '%y%m%d%H') end || '.log'"
+ORACLE |= {
+    "log_files": LOG_BASE + f""", f as (select {_SOURCE} logical, dataset_id, capture_id, process, count(*) records, min(end_us) first from e group by all)
+      select logical, 'file' kind, dataset_id, capture_id, process, case when first is null then 'valid_no_timestamp' else 'valid' end status, '' reason, 'inferred_relative_path' identity_status, records, 0 parse_errors, records last_ordinal from f
+      union all select * from (values ('cap9/rphost_9/24010100.log', 'file', 'cap9/rphost_9', 'cap9', 'rphost_9', 'skipped', 'empty_or_bom_only', 'inferred_relative_path', 0, 0, null),
+        ('cap9/rphost_9/24010101.log', 'file', 'cap9/rphost_9', 'cap9', 'rphost_9', 'skipped', 'no_record_head', 'inferred_relative_path', 0, 0, null),
+        ('cap9/rphost_9/24010102.log', 'file', 'cap9/rphost_9', 'cap9', 'rphost_9', 'partial_nul_salvaged', 'nul_bytes', 'inferred_relative_path', 1, 0, 1))""",
+    "log_events": LOG_BASE + f"""select event_id, {_SOURCE} source, event_type, end_us, duration_us, start_us, usr_raw, "user", dataset_id, capture_id, process, thread, session, connect_id, measurement_id, context, cpu_us_raw,
+      case when k % 11 = 0 then ' ' else cast((k - 20) * 512 as varchar) end memory_raw, cast(memory_peak as varchar) memory_peak_raw, case when k % 9 = 0 then '-5' else cast(k * 10 as varchar) end in_bytes_raw,
+      cast(out_bytes as varchar) out_bytes_raw, '+' || k rows_affected_raw, sql_text, message from e""",
+    "log_links": on_logs("link_decision"),
+    "log_operations": LOG_BASE + f""", {ops()}, pr as (select *, case when (count >= 2 and p95_us >= 30000000) or over_30s >= 2 or max_us >= 120000000 or (db_per_call >= 1000 and p95_us >= 10000000) then 'P0'
+      when max_us >= 30000000 or p95_us >= 5000000 or duration_us >= 30000000 or db_per_call >= 500 or coalesce(max_out_bytes, 0) >= 10485760 then 'P1' else 'P2' end priority from ops) select * exclude (context_sample) from pr""",
+    "log_linkage": on_logs("linkage_summary"),
+    "log_locks": on_logs("lock_groups"),
+    "log_sql_groups": on_logs("sql_group_stats", "sample_sql"),
+    "log_errors": on_logs("error_groups", "representative", "sample"),
+}

@@ -16,6 +16,7 @@ from sparktrace.operators import linking, problems, quality, report, series, ver
 from sparktrace.plans import adapters
 from sparktrace.plans.adapters import table
 from sparktrace.plans.shared import kept
+from sparktrace.sources import tj
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -250,6 +251,70 @@ def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", F.when(F.row_number().over(order) == 1, "valid").otherwise("skipped_duplicate").alias("status"))
 
 
+# The same tables from logs: the events are written out as log text, read, parsed and linked again.
+
+
+class Logs(Trace):
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.found = tj.opened(adapters.trace_logs(spark, sf_dir))
+        self.health = tj.files(self.found, salvage_nul_prefix=True)
+        self.records = kept(tj.records(tj.accepted(self.found, self.health), salvage_nul_prefix=True))
+        events = tj.events(self.records).withColumn("signature", text.signature("context", ["Func", "IName", "MName", "Form", "FormItem"]))
+        events = events.withColumn("own_id", F.get_json_object("attributes_json", "$.EventId").cast("long"))
+        self.events = events.where("own_id is not null")
+        self.calls, self.others = self.events.where("event_type = 'CALL'"), self.events.where("event_type <> 'CALL'")
+
+
+@query
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of the logs, with the records found in each."""
+    t = Logs(spark, sf_dir)
+    counts = t.records.groupBy("logical").agg(F.count("*").alias("records"), F.count_if("parse_error").alias("parse_errors"), F.max("record_ordinal").alias("last_ordinal"))
+    found = t.health.join(counts, "logical", "left")
+    return found.select("logical", "kind", "dataset_id", "capture_id", "process", "status", "reason", "identity_status", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"), "last_ordinal")
+
+
+@query
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attribute of every event as it is read back."""
+    names = ["source", "event_type", "end_us", "duration_us", "start_us", "usr_raw", "user", "dataset_id", "capture_id", "process", "thread", "session", "connect_id", "measurement_id", "context", "cpu_us_raw", "memory_raw", "memory_peak_raw", "in_bytes_raw", "out_bytes_raw", "rows_affected_raw", "sql_text", "message"]
+    return Logs(spark, sf_dir).events.select(F.col("own_id").alias("event_id"), *names)
+
+
+@query
+def log_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Logs(spark, sf_dir)
+    owner = t.calls.select(F.col("event_id").alias("parent_call_id"), F.col("own_id").alias("owner"))
+    return linking.link(t.events).join(owner, "parent_call_id", "left").select(F.col("own_id").alias("event_id"), F.col("owner").alias("parent_call_id"), "status", "reason_code", "candidate_count", "eligible_count", "session_match_count", "fallback_applied")
+
+
+@query
+def log_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.operations(Logs(spark, sf_dir).observed).drop("context_sample")
+
+
+@query
+def log_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Logs(spark, sf_dir)
+    return A.linkage(t.events, t.linked)
+
+
+@query
+def log_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.lock_groups(Logs(spark, sf_dir).linked)
+
+
+@query
+def log_sql_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Logs(spark, sf_dir)
+    return A.sql_groups(t.linked, t.texts).drop("sample_sql")
+
+
+@query
+def log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.error_groups(Logs(spark, sf_dir).errors).drop("representative", "sample")
+
+
 # The family of derived tables.
 
 #: Configuration of the queries: chatty thresholds, longest fast call, duration bands, targets, rules.
