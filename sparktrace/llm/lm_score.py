@@ -143,7 +143,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     both = sent.groupBy(UNIT).cogroup(spread(answers, "unit", units, UNITS_EACH).groupBy("unit"))
     seen = both.applyInPandas(tally, "bucket int, p2 int, p1 int, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
-    weights = fit(seen.toPandas(), v)  # at most MAX_BUCKETS * (levels of p2) * (levels of p1) rows
+    weights = fit(seen.toPandas(), v)  # probabilities are 1 / N at least: (FINE * log10 N) ** 2 rows per bucket and log2 N buckets at most, whatever the rows
 
     def apply(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         x = counted(rows, answers)
