@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import sys
+import time
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +30,8 @@ def fingerprint(rows: DataFrame) -> dict:
 class Writer:
     """Tables written one by one to a staging folder and read from there, so that what follows doesn't compute them again; commit puts all in place."""
 
-    def __init__(self, spark: SparkSession, path: str, overwrite: bool = False):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, overwrite: bool = False, progress: bool = False):
+        self.spark, self.path, self.progress, self.began = spark, path.rstrip("/"), progress, time.time()
         self.target, self.fs = _path(spark, self.path)
         if self.fs.exists(self.target) and not (overwrite and self.fs.exists(_path(spark, f"{self.path}/{MANIFEST}")[0])):
             raise FileExistsError(path)  # a folder that isn't a bundle is never replaced
@@ -41,6 +43,8 @@ class Writer:
         rows.write.parquet(f"{self.stage}/{name}")
         out = self.spark.read.parquet(f"{self.stage}/{name}")
         self.told[name] = fingerprint(out)
+        if self.progress:
+            print(json.dumps({"table": name, "rows": self.told[name]["rows"], "seconds": round(time.time() - self.began, 1)}), file=sys.stderr, flush=True)
         return out
 
     def csv(self, name: str, rows: DataFrame, order: list[Column]) -> None:

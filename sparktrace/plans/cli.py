@@ -1,7 +1,7 @@
 """Commands: analyze logs into a bundle, derive tables from one, verify one, lay out report tables.
 
-python -m sparktrace.plans.cli analyze LOGS -o BUNDLE [--archive-mode auto|always|never] [--exclude-dir NAME] [--salvage-nul-prefix] [--source-map FILE] [--capture-id ID] [--top-calls N] [--csv] [--overwrite]
-python -m sparktrace.plans.cli derive --analysis-dir BUNDLE --config FILE --output-dir DIR [--slices NAME ...] [--csv] [--overwrite]
+python -m sparktrace.plans.cli analyze LOGS -o BUNDLE [--archive-mode auto|always|never] [--exclude-dir NAME] [--salvage-nul-prefix] [--source-map FILE] [--capture-id ID] [--top-calls N] [--csv] [--progress] [--overwrite]
+python -m sparktrace.plans.cli derive --analysis-dir BUNDLE --config FILE --output-dir DIR [--slices NAME ...] [--csv] [--progress] [--overwrite]
 python -m sparktrace.plans.cli verify --analysis-dir BUNDLE [--slices-dir DIR] [--level basic|full]
 python -m sparktrace.plans.cli report --analysis-dir BUNDLE --slices-dir DIR --config FILE --output-dir DIR [--overwrite]
 python -m sparktrace.plans.cli slices
@@ -222,6 +222,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--output-dir", required=True)
     for p in (a, d, r):
         p.add_argument("--csv", action="store_true")
+        p.add_argument("--progress", action="store_true")
         p.add_argument("--overwrite", action="store_true")
     commands.add_parser("slices")
     return top
@@ -233,7 +234,7 @@ def run(args: argparse.Namespace) -> int:
         return 0
     spark = SparkSession.builder.getOrCreate()
     if args.command == "analyze":
-        writer = bundle.Writer(spark, args.output_dir, args.overwrite)
+        writer = bundle.Writer(spark, args.output_dir, args.overwrite, args.progress)
         mapped = settings_of(spark, args.source_map) if args.source_map else None
         about = analyze(spark, args.input_dir, writer, args.archive_mode, args.salvage_nul_prefix, tuple(args.exclude_dir), args.capture_id, mapped, args.top_calls)
         if args.csv:
@@ -247,7 +248,7 @@ def run(args: argparse.Namespace) -> int:
         raw = settings_of(spark, args.config)
         settings = config.load(raw if not args.slices else json.dumps(config.strict_json(raw) | {"slices": args.slices}))
         saved = bundle.load(spark, args.analysis_dir, settings["expected_bundle_id"])
-        writer = bundle.Writer(spark, args.output_dir, args.overwrite)
+        writer = bundle.Writer(spark, args.output_dir, args.overwrite, args.progress)
         built = derive(spark, saved, settings, told["bundle_id"], told["about"])
         for name in settings["slices"]:
             rows = writer.put(name, built[name]())
@@ -261,7 +262,7 @@ def run(args: argparse.Namespace) -> int:
         about = bundle.manifest(spark, args.slices_dir)["about"]
         config.need(about.get("bundle_id") == told["bundle_id"], "the slices are of another bundle")
         settings = report.load(settings_of(spark, args.config))
-        writer = bundle.Writer(spark, args.output_dir, args.overwrite)
+        writer = bundle.Writer(spark, args.output_dir, args.overwrite, args.progress)
         for name, rows in report.build(settings, saved, bundle.load(spark, args.slices_dir), told).items():
             writer.put(name, rows)
             if args.csv:

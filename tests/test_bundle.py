@@ -66,7 +66,7 @@ def analysed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("analysed")
     logs(folder / "logs")
     out = str(folder / "bundle")
-    assert cli.main(["analyze", str(folder / "logs"), "-o", out, "--csv"]) == 0
+    assert cli.main(["analyze", str(folder / "logs"), "-o", out, "--csv", "--progress"]) == 0
     assert cli.main(["analyze", str(folder / "logs"), "-o", out]) == cli.NOT_EMPTY
     return out
 
