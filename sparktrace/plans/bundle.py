@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 MANIFEST = "manifest.json"
 
@@ -38,10 +39,13 @@ class Writer:
         self.stage = f"{self.path}.stage"
         self.fs.delete(_path(spark, self.stage)[0], True)
         self.told: dict[str, dict] = {}
+        self.schemas: dict[str, dict] = {}
 
-    def put(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{self.stage}/{name}")
-        out = self.spark.read.parquet(f"{self.stage}/{name}")
+    def put(self, name: str, rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write a table, in folders by the columns of by, so that who asks for one value reads no other's files."""
+        rows.write.partitionBy(*by).parquet(f"{self.stage}/{name}") if by else rows.write.parquet(f"{self.stage}/{name}")
+        out = self.spark.read.schema(rows.schema).parquet(f"{self.stage}/{name}")
+        self.schemas[name] = rows.schema.jsonValue()
         self.told[name] = fingerprint(out)
         if self.progress:
             print(json.dumps({"table": name, "rows": self.told[name]["rows"], "seconds": round(time.time() - self.began, 1)}), file=sys.stderr, flush=True)
@@ -52,7 +56,7 @@ class Writer:
 
     def commit(self, about: dict[str, Any] | None = None) -> str:
         """Write the manifest and swap the folders: until the new one is in place, the old one stays beside it. Returns the bundle id."""
-        content = {"tables": self.told, "about": about or {}}
+        content = {"tables": self.told, "schemas": self.schemas, "about": about or {}}
         bundle_id = hashlib.sha256(json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
         out = self.fs.create(_path(self.spark, f"{self.stage}/{MANIFEST}")[0], True)
         out.write(json.dumps({"bundle_id": bundle_id} | content, sort_keys=True, ensure_ascii=False).encode())
@@ -91,7 +95,7 @@ def load(spark: SparkSession, path: str, expected: str | None = None, verify: bo
     told = manifest(spark, path)
     if expected and told["bundle_id"] != expected:
         raise ValueError(f"bundle {told['bundle_id']}, not {expected}")
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in told["tables"]}
+    tables = {name: spark.read.schema(StructType.fromJson(told["schemas"][name])).parquet(f"{path}/{name}") for name in told["tables"]}
     for name, rows in tables.items() if verify else ():
         if fingerprint(rows) != told["tables"][name]:
             raise ValueError(f"table {name} isn't what was saved")
@@ -120,8 +124,6 @@ def export_csv(rows: DataFrame, path: str, order: list[Column] = ()) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table written by export_csv, or one like it: the header must name the columns of the schema, and bad cells are errors."""
-    from pyspark.sql.types import ArrayType, MapType, StructType
-
     wanted = spark.createDataFrame([], schema).schema
     first = spark.read.text(path).first()
     head = next(csv.reader([first.value.removeprefix("\ufeff")]), []) if first else []

@@ -51,7 +51,7 @@ def analyze(
     if not health.where("status = 'conflicting_version'").isEmpty():
         raise ValueError("versions of one logical source differ; select one explicitly")
     records = put("records", tj.records(tj.accepted(found, health), salvage))
-    events = put("events", tj.events(records).withColumn("signature", text.signature("context", ["Func", "IName", "MName", "Form", "FormItem"])))
+    events = put("events", tj.events(records).withColumn("signature", text.signature("context", ["Func", "IName", "MName", "Form", "FormItem"])), ("event_type",))
     if events.where("event_type = 'CALL'").isEmpty():
         raise NoLogs(logs)
     put("parse_issues", records.where("parse_error").select("source_id", "logical", "dataset_id", "byte_start", "byte_end", "line_start", "raw_record_sha256"))
@@ -60,7 +60,7 @@ def analyze(
     own, others = events.where("event_type = 'CALL'"), events.where("event_type <> 'CALL'")
     decided = put("link_decisions", linking.decide(others, linking.candidates(others, own)))
     put("link_candidates", linking.evidence(linking.candidates(others.where("event_type in ('DBPOSTGRS', 'EXCP', 'QERR')"), own), decided))
-    linked = put("event_links", others.join(decided, "event_id").join(texts.select("sql_text", F.col("normalized_sql").alias("sql_pattern")), "sql_text", "left"))
+    linked = put("event_links", others.join(decided, "event_id").join(texts.select("sql_text", F.col("normalized_sql").alias("sql_pattern")), "sql_text", "left"), ("event_type",))
     calls = put("call_observations", quality.with_source_status(A.observations(events, linked), health))
     connects = own.select(F.col("event_id").alias("parent_call_id"), F.col("connect_id").alias("call_connect"))
     related = linked.where("event_type in ('EXCP', 'QERR')").join(connects, "parent_call_id", "left").withColumn("connect_relation", text.key_relation("connect_id", "call_connect"))

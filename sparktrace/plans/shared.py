@@ -14,7 +14,8 @@ def kept(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if sc.master.split("[")[0] != "local":
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
