@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -170,6 +171,27 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, stars):
     assert close > 30 and sorted(left) == [i for i in range(len(texts)) if top(i) == i]
 
 
+def test_near_copies_meet_by_simhash_links(spark, monkeypatch):
+    """Without the keys that sets share, copies are found by their fingerprints, and whole sets still decide."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(20):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join([*text, "end"]))]
+    line = [f"line{i}" for i in range(12)]
+    rows += [(100, " ".join(line * 40)), (101, " ".join([*line * 40, "a", "b", "c", "d", "e", "f"]))]  # 12 and 18 shingles
+    hashes = {d: simhash_dedup.shingle_set(t, 5) for d, t in rows}
+    prints = {d: simhash_dedup.simhash(h) for d, h in hashes.items()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    found = simhash_dedup.hashed_alike(spark.createDataFrame([(d, int(np.uint64(p).astype(np.int64))) for d, p in prints.items()], "fp long, print long"), 2)
+    assert {(r.a, r.b) for r in found.collect()} == near and len(near) >= 5
+    nothing = lambda *a: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash_dedup, "starred", nothing)
+    monkeypatch.setattr(simhash_dedup, "across", nothing)
+    gone = {b for a, b in near if len(np.intersect1d(hashes[a], hashes[b])) >= 0.8 * len(np.union1d(hashes[a], hashes[b]))}
+    assert {d for d, _ in rows} - {r.doc_id for r in simhash_dedup.one_of_each(frame(spark, rows)).collect()} == gone
+
+
 def test_parity_maps_lose_no_pair():
     rng = np.random.default_rng(4)
     for n in (1, 5, 40, 900):
