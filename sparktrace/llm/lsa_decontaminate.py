@@ -49,16 +49,20 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
-def terms(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(dimension of every word in a row, words of each text)."""
+def codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hash of every word in a row, words of each text)."""
     counts = np.array([len(words) for words in texts], np.int64)
-    return np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()).astype(np.int64) % DIMS, counts
+    return np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()), counts
 
 
-def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def terms(code: np.ndarray) -> np.ndarray:
+    """Dimension of every word."""
+    return (code % np.uint32(DIMS)).astype(np.int64)
+
+
+def grams(code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash of each run of GRAM words, its text, its place in there)."""
-    counts = np.array([len(words) for words in texts], np.int64)
-    code = np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint32, counts.sum()).astype(np.uint64) * ODD
+    code = code.astype(np.uint64) * ODD
     text = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
     full = np.flatnonzero(at + GRAM <= counts[text]) if len(code) else np.zeros(0, np.int64)
@@ -108,9 +112,10 @@ def tallied(docs: DataFrame, test: np.ndarray) -> np.ndarray:
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((DIMS, WIDTH))
         for _, texts in batches_of(rows):
-            dim, counts = terms(texts)
-            if not len(dim):
+            code, counts = codes(texts)
+            if not len(code):
                 continue
+            dim = terms(code)
             sums, size, text = halves(dim, counts, weights)
             first = np.searchsorted(text, text)
             nth = (np.arange(len(text)) - first) // 2 * 2 + first  # the half that a half's passage starts with; these passages don't overlap
@@ -118,9 +123,9 @@ def tallied(docs: DataFrame, test: np.ndarray) -> np.ndarray:
             out[:, 0] += np.bincount(distinct(of * DIMS + dim) % DIMS, minlength=DIMS)
             out[:, 1] += np.bincount(dim, minlength=DIMS)
             out[0, 2] += np.count_nonzero(nth == np.arange(len(nth)))
-            each = np.repeat(pairs(sums, text)[nth], size, axis=0).T.astype(float)
+            each = np.ascontiguousarray(pairs(sums, text)[nth].T, float)  # a column's values lie side by side
             for k in range(TEST):
-                out[:, 3 + k] += np.bincount(dim, each[k], DIMS)
+                out[:, 3 + k] += np.bincount(dim, np.repeat(each[k], size), DIMS)
         tidy()
         yield pd.DataFrame({"row": range(DIMS // ROW), "part": [out[i : i + ROW].tobytes() for i in range(0, DIMS, ROW)]})
 
@@ -200,11 +205,11 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, list[bytes]]], space: Space):
         at = [(w[a : a + SIZE], i) for i, (_, w) in enumerate(rows) for a in range(0, max(len(w) - SIZE, 0) + SHIFT, SHIFT)]
-        dim, counts = terms([w for w, _ in at])
-        vectors, text = space.vectors(dim, counts)
+        code, counts = codes([w for w, _ in at])
+        vectors, text = space.vectors(terms(code), counts)
         first = np.searchsorted(text, np.arange(len(at)))
         self.item, self.vectors = np.array([i for _, i in at]), vectors[first]
-        gram, of, _ = grams([w for _, w in rows])
+        gram, of, _ = grams(*codes([w for _, w in rows]))
         order = np.argsort(gram, kind="stable")
         self.gram, self.gram_item = gram[order], of[order]
         self.maybe = np.zeros(1 << 22, bool)
@@ -259,9 +264,9 @@ def found_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, com
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id string, item_id string, cosine double, common double, answer double")
 
 
-def runs_shared(texts: list[list[bytes]], first: np.ndarray, items: Items) -> np.ndarray:
+def runs_shared(code: np.ndarray, counts: np.ndarray, first: np.ndarray, items: Items) -> np.ndarray:
     """Distinct rows (half passage, item) where GRAM words in a row of the item begin; first is the first half of each text."""
-    gram, text, at = grams(texts)
+    gram, text, at = grams(code, counts)
     hit = np.flatnonzero(items.maybe[gram >> np.uint64(42)])
     low, high = (np.searchsorted(items.gram, gram[hit], side) for side in ("left", "right"))
     hit, low, many = hit[high > low], low[high > low], (high - low)[high > low]
@@ -273,16 +278,16 @@ def runs_shared(texts: list[list[bytes]], first: np.ndarray, items: Items) -> np
 
 def candidates(texts: list[list[bytes]], space: Space, items: Items, cosine: float, common: float, answer: float) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
     """(text, item, (cosine, common, answer)) of leaks among all passages of some texts."""
-    dim, counts = terms(texts)
-    if not len(dim):
+    code, counts = codes(texts)
+    if not len(code):
         return
-    vectors, text = space.vectors(dim, counts)
+    vectors, text = space.vectors(terms(code), counts)
     first = np.searchsorted(text, np.arange(len(texts)))
     near = vectors @ items.vectors.T
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     checked: set[tuple[int, int]] = set()
     rows, cols = np.divmod(np.flatnonzero(near.ravel() >= cosine), near.shape[1])
-    shared = runs_shared(texts, first, items)
+    shared = runs_shared(code, counts, first, items)
     for passage, i, column in chain(zip(rows.tolist(), items.item[cols].tolist(), cols.tolist(), strict=True), ((p, i, None) for p, i in shared.tolist())):
         if (passage, i) in checked:
             continue

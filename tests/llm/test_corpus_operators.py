@@ -427,3 +427,12 @@ def test_pipeline(spark):
         if name != "byte_bpe":
             assert docs.columns == columns
     assert len(ids) > 100 and {"ids", "n_tokens"} <= set(docs.columns)
+
+
+def test_a_search_hashes_each_word_once(spark, monkeypatch):
+    space = lsa_decontaminate.fit(frame(spark, [(1, "a b c d e f g h i j k")]).select("doc_id", "text"))
+    items = lsa_decontaminate.Items([(1, lsa_decontaminate.words("one two three four five six seven eight nine"))], space)
+    texts, crc32, hashed = [lsa_decontaminate.words(t) for t in ("x one two three four five six seven eight nine y", "", "z " * 50)], zlib.crc32, []
+    monkeypatch.setattr(zlib, "crc32", lambda w: hashed.append(w) or crc32(w))
+    assert [(d, i) for d, i, _ in lsa_decontaminate.candidates(texts, space, items, 0.45, 0.6, 0.5)] == [(0, 0)]
+    assert len(hashed) == sum(map(len, texts))
