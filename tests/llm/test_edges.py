@@ -68,6 +68,16 @@ def test_large_ids_beside_nulls(spark, marks, name):
         assert all((r.fp, r.unit_of_rows) == ((BIG, BIG) if r.doc_id == BIG else (None, None)) for r in got)
 
 
+@pytest.mark.parametrize("kind,ids", [("string", ["007", "d8", None, ""]), ("double", [1.5, 40.0, None]), ("int", [3, -4, None])])
+def test_scores_keep_ids_of_other_types(spark, kind, ids):
+    docs = spark.createDataFrame([(i, None) for i in ids], f"doc_id {kind}, text string")
+    for df in (docs, docs.withColumn("text", F.lit(None).cast("int"))):  # a column of nulls alone may be read as numbers
+        out = lm_score.score(df)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        got = collections.Counter((r.doc_id, r.held_out, r.n_tokens) for r in out.collect())
+        assert got == collections.Counter((i, zlib.crc32(str(i).encode()) % 7 == 2, 1) for i in ids)
+
+
 def test_leaks_with_large_ids(spark, bench):
     got = {(r.doc_id, r.item_id) for r in lsa_decontaminate.leaks(documents(spark, [(BIG, LONG[:500]), (None, LONG[1900:2500]), (4, "other words")]), bench).collect()}
     assert got == {(BIG, BIG), (None, None)}
